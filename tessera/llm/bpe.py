@@ -39,7 +39,7 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
     """text, cut at safe boundaries; a piece is longer than ``long`` only if it has no such boundary there."""
     start = 0
     while len(text) - start > long:
-        cut = SAFE.search(text, start + long - 1)
+        cut = SAFE.search(text, start + long)  # beyond the boundary at start itself
         if not cut:
             break
         yield text[start : cut.start()]
@@ -65,7 +65,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str =
     def run(batches):
         enc = encoding(rank_file, pattern)
         for b in batches:
-            all_ids = [] if digests_only else None
+            all_ids = []
             n, raws, sha_ids, sha_raw = [], [], [], []
             for t in b.column("__text"):
                 ids = encode(enc, t.as_py() or "")
