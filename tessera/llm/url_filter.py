@@ -131,11 +131,12 @@ def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> Ur
     if not a.sum() or not r.sum():
         return model
     wrong = [(a[:i].sum() / a.sum() + r[i:].sum() / r.sum(), i) for i in range(len(bins) + 1)]
-    best = min(wrong)[0]
-    at = [i for w, i in wrong if w <= best + 1e-12]
-    edge = lambda i: (bins[i]["bin"] - 0.5 if i < len(bins) else bins[-1]["bin"] + 0.5) / 100
-    low, high = edge(at[0]) if at[0] else -0.05, edge(at[-1])
-    return UrlModel(counts, float(np.clip(0.0, min(low, high), max(low, high))))
+    at = min(wrong)[1]
+    # Any threshold between the bins on both sides of the split is as good: 0 if it lies there, else the middle.
+    low = (bins[at - 1]["bin"] + 0.5) / 100 if at else -np.inf
+    high = (bins[at]["bin"] - 0.5) / 100 if at < len(bins) else np.inf
+    middle = 0.0 if low <= 0 <= high else high if low == -np.inf else low if high == np.inf else (low + high) / 2
+    return UrlModel(counts, float(middle))
 
 
 def _scored(df: DataFrame, model: UrlModel, keep: list[str], address: str) -> DataFrame:
