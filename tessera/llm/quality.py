@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import words, written
 
 #: Frequent function words of the languages in the corpus.
 STOP_WORDS = (
@@ -150,8 +150,8 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of docs, all columns unchanged, that the rules keep.
 
-    The id column stops the optimiser from pushing the test down through the projections,
-    where it would repeat every metric's expression many times over.
+    The judged rows are written first: a filter on top of the projections would make the
+    optimiser infer constraints from each of their expressions, which doesn't end.
     """
-    judged = judge(docs, rules, text).select("row", "kept", F.monotonically_increasing_id().alias("__barrier"))
+    judged = written(judge(docs, rules, text).select("row", "kept"), "judged")
     return judged.where("kept").select("row.*")
