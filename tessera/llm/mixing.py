@@ -14,11 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import small_enough, words, written
 
 WEIGHTS, CAP = (5, 2, 1), 3
 #: Blocks of a source, levels of the tree (2 ** LEVELS shards), and what makes the permutations.
 BLOCKS, LEVELS, SEED = 512, 5, 17
+#: Rows of the plan (one for each source and block) up to which it is broadcast, and slices of a shard.
+BROADCAST, SLICE_BITS = 100_000, 6
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -83,12 +85,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     """docs nested in ``row``, with size, source_size, target and ``draws``: one (shard, place) for each time the row is drawn.
 
     No row is drawn more than cap times. A source's drawn words come within one document of its
-    target. Ids decide everything, so reruns agree; rows that share an id (or have none) share
-    a block and are told apart by size. Texts without words have size 0 and draws that add none.
+    target. Ids decide everything, so reruns agree. Rows without an id are told apart by their
+    texts; rows that share id and size (without an id: the text) are drawn alike. Texts without
+    words have size 0 and draws that add none.
+
+    Texts are never shuffled: block totals are written, and a source has one block at most that is
+    drawn in part, whose rows' hashes and sizes alone are put in order.
     """
-    sized = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.lit(SEED)).alias("h"))
-    sized = sized.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
-    by_block = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
+    hashed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text)), F.lit(SEED)).alias("h"))
+    hashed = hashed.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    size = F.size(words(F.col(f"row.{text}"))).cast("long").alias("size")
+    by_block = written(hashed.select("source", "block", size).groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
     sources = by_block.groupBy("source").agg(F.sum("words").alias("source_size"))
     plan = targets(sources, weights, cap).select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("int").alias("whole"))
     plan = plan.select("*", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long").alias("part"))
@@ -105,18 +112,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     # Draw k of a block stands at k * n_blocks + at in its source's permuted draws.
     shard_of = lambda place: F.get(F.filter("slices", lambda x: x["first"] <= place), F.size(F.filter("slices", lambda x: x["first"] <= place)) - 1)["shard"]
     shards = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda k: shard_of(k * F.col("n_blocks") + F.col("at")))).otherwise(F.array().cast("array<int>"))
-    b = b.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "whole", "extra", F.col("words").alias("block_words"), shards.alias("shards"))
-    inside = Window.partitionBy("source", "block").orderBy(F.xxhash64("h", F.lit(SEED + 1)), "h", "size")
-    placed = sized.select("*", (F.sum("size").over(inside) - F.col("size")).alias("start"), F.row_number().over(inside).alias("place"))
-    d = placed.join(b, placed["source"].eqNullSafe(b["b_source"]) & (placed["block"] == b["b_block"]))
-    # In a block drawn in part, documents whose middle lies within the part's words are drawn.
-    drawn = F.when(F.col("extra") >= F.col("block_words"), F.size("shards")).otherwise(F.col("whole") + ((F.col("start") * 2 + F.col("size") <= F.col("extra") * 2) & (F.col("extra") > 0)).cast("int"))
-    draws = F.transform(F.slice("shards", 1, F.least(drawn, F.size("shards"))), lambda x, k: F.struct(x.alias("shard"), F.xxhash64("h", "place", k, F.lit(SEED + 2)).alias("place")))
+    b = written(b.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "whole", "extra", F.col("words").alias("block_words"), shards.alias("shards")), "plan")
+    # One row for each source and block: broadcast while that is few.
+    few = small_enough(b, BROADCAST)
+
+    def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(plan) if few else plan, rows["source"].eqNullSafe(plan["b_source"]) & (rows["block"] == plan["b_block"]))
+
+    # In a block drawn in part, documents whose middle lies within the part's words are drawn: those up to a cut.
+    key = F.struct(F.xxhash64("h", F.lit(SEED + 1)).alias("order"), "h", "size")
+    in_part = with_plan(hashed, b.where("extra > 0 AND extra < block_words").select("b_source", "b_block", "extra")).select("b_source", "b_block", "extra", "h", size)
+    inside = Window.partitionBy("b_source", "b_block").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = in_part.select("b_source", "b_block", "extra", "size", key.alias("key")).withColumn("end", F.sum("size").over(inside))
+    cuts = summed.where(F.col("end") * 2 - F.col("size") <= F.col("extra") * 2).groupBy("b_source", "b_block").agg(F.max("key").alias("cut")).toDF("c_source", "c_block", "cut")
+    b = b.join(cuts, b["b_source"].eqNullSafe(cuts["c_source"]) & (b["b_block"] == cuts["c_block"]), "left").drop("c_source", "c_block")
+    d = with_plan(hashed.select("*", size), b)
+    drawn = F.when(F.col("extra") >= F.col("block_words"), F.size("shards")).otherwise(F.col("whole") + F.coalesce(key <= F.col("cut"), F.lit(False)).cast("int"))
+    draws = F.transform(F.slice("shards", 1, F.least(drawn, F.size("shards"))), lambda x, k: F.struct(x.alias("shard"), F.xxhash64("h", k, F.lit(SEED + 2)).alias("place")))
     return d.select("row", "size", "source_size", "target", draws.alias("draws"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' rows, each as often as it is drawn, dealt by shard and in the shard's random order."""
-    m = mix(docs, **options).select("row", F.explode("draws").alias("d"))
-    return m.repartition("d.shard").sortWithinPartitions("d.shard", "d.place").select("row.*")
+    """The mix itself: docs' rows, each as often as it is drawn, dealt by shard and in the shard's random order.
 
+    A shard is dealt in 2 ** SLICE_BITS slices of that order, so that no task holds all of it.
+    """
+    m = mix(docs, **options).select("row", F.explode("draws").alias("d"))
+    return m.repartition("d.shard", F.shiftright("d.place", 64 - SLICE_BITS)).sortWithinPartitions("d.shard", "d.place").select("row.*")
