@@ -147,11 +147,18 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
     return m.select("*", base_failed().alias("base_failed"), (~base_failed() & compile_rules(rules)).alias("kept"))
 
 
-def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns unchanged, that the rules keep.
+def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns unchanged, that the rules keep, not yet written.
 
-    The judged rows are written first: a filter on top of the projections would make the
-    optimiser infer constraints from each of their expressions, which doesn't end.
+    Kept rows are exploded from arrays of one row, not filtered: a filter on top of the projections
+    would make the optimiser infer constraints from each of their expressions, which doesn't end.
+    For the same reason the result must be written before it is filtered or joined; keep() does so.
     """
-    judged = written(judge(docs, rules, text).select("row", "kept"), "judged")
-    return judged.where("kept").select("row.*")
+    judged = judge(docs, rules, text)
+    # rand() is never below 0: it only keeps the optimiser from turning the array into a filter.
+    return judged.select(F.explode(F.when(F.col("kept") & (F.rand(1) >= 0), F.array("row"))).alias("row")).select("row.*")
+
+
+def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """passing(), written and read again, for any further use."""
+    return written(passing(docs, rules, text), "passing")
