@@ -16,8 +16,8 @@ from tessera.llm.queries import RANKS
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
-    return quality.keep(docs)
+    """Documents that the rules reject go; the result is written as it leaves the stage."""
+    return quality.passing(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
