@@ -115,15 +115,23 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", per_language: int = PER_LANGUAGE, at_most: int = AT_MOST) -> ByteConvNet | None:
-    """Fit on a bounded sample: of each language the per_language rows of the smallest hash,
-    at_most rows in all, TRAIN_CHARS characters from somewhere in each. Rows with a null
-    text or language teach nothing; None if no row is left."""
-    key = F.xxhash64(F.col(order_by).cast("string"), F.lit("lang"))
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
-        F.col(lang).alias("l"), key.alias("k"),
-        F.expr(f"substring(`{text}`, cast(pmod(xxhash64(cast(`{order_by}` as string), 'lang'), greatest(length(`{text}`) - {TRAIN_CHARS}, 1)) as int) + 1, {TRAIN_CHARS})").alias("t"),
-    )
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= per_language)
+    """Fit on a bounded sample: of each language the labelled rows of the per_language smallest
+    hashes, at_most rows in all, TRAIN_CHARS characters from somewhere in each. Rows with a null
+    text or language, or no letter, teach nothing; None if no row is left.
+
+    Which hashes are small is found from ids and languages alone: rows are counted by language and
+    by the bits of their hash, so only about twice per_language rows of a language are ranked.
+    """
+    k = F.shiftrightunsigned(F.xxhash64(F.col(order_by).cast("string"), F.lit("lang")), 1)
+    keyed = labelled.where(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), k.alias("k"), F.col(text).alias("t")).withColumn("bits", F.length(F.bin("k")))
+    up_to = Window.partitionBy("l").orderBy("bits")
+    counts = keyed.groupBy("l", "bits").agg(F.count("*").alias("n")).withColumn("n", F.sum("n").over(up_to))
+    most = F.coalesce(F.min(F.when(F.col("n") >= per_language, F.col("bits"))), F.max("bits"))
+    # One row for each language, at_most of them, the most frequent first.
+    bound = counts.groupBy("l").agg(most.alias("most"), F.max("n").alias("n")).orderBy(F.col("n").desc(), "l").limit(at_most).select("l", "most")
+    start = F.expr(f"cast(pmod(xxhash64(k, 'start'), greatest(length(t) - {TRAIN_CHARS}, 1)) as int) + 1")
+    near = keyed.join(F.broadcast(bound), "l").where((F.col("bits") <= F.col("most")) & F.col("t").rlike(r"\p{L}")).select("l", "k", F.substring("t", start, F.lit(TRAIN_CHARS)).alias("t"))
+    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= per_language)
     sample = ranked.orderBy("r", "l").limit(at_most).collect()
     if not sample:
         return None
