@@ -197,8 +197,9 @@ def _verified(rows: DataFrame, text: str, groups: DataFrame, reps: DataFrame, le
     A task returns at most one link for each of its documents.
     """
     g = groups.union(groups.select("root", "root").distinct()).toDF("node", "root").distinct()
-    g = g.join(reps.select(F.col("rep").alias("node"), "w"), "node")
-    total = g.groupBy("root").agg(F.greatest(F.ceil(F.sum("w") / PIECE), F.ceil(F.count("*") / PIECE_DOCS)).cast("int").alias("pieces"))
+    # Written: a join by the root of a very large group can then be split, and nothing is made twice.
+    g = written(g.join(reps.select(F.col("rep").alias("node"), "w"), "node"), "nodes")
+    total = written(g.groupBy("root").agg(F.greatest(F.ceil(F.sum("w") / PIECE), F.ceil(F.count("*") / PIECE_DOCS)).cast("int").alias("pieces")), "totals")
     g = g.join(total, "root").select("root", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("p"))
     other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
     g = written(g.select("root", "node", "pieces", "p", other.alias("q")).select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", F.col("node").alias("rid")), "pieces")
@@ -249,9 +250,9 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least:
     links = _verified(rows, text, groups, reps, least)
     final = components(links)
     members = rows.select("rid", F.col(f"row.{id_col}").alias("id")).join(signed.select("rid", "sha"), "rid", "left").join(reps.select("sha", "rep"), "sha", "left")
-    rooted = members.join(final.toDF("rep", "root"), "rep", "left").select("rid", "id", F.coalesce("root", "rep", "rid").alias("root"))
+    rooted = written(members.join(final.toDF("rep", "root"), "rep", "left").select("rid", "id", F.coalesce("root", "rep", "rid").alias("root")), "rooted")
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id").alias("id"), F.col("rid").alias("rid"))
-    heads = rooted.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("class_size"))
+    heads = written(rooted.groupBy("root").agg(F.min(order).alias("head"), F.count("*").alias("class_size")), "heads")
     return rows, rooted.join(heads, "root").select("rid", "id", F.col("head.id").alias("class_id"), "class_size", (F.col("head.rid") == F.col("rid")).alias("kept"))
 
 
