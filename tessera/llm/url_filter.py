@@ -8,14 +8,19 @@ compared with a threshold that is calibrated on labelled URLs which trained neit
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest n-gram, hashed slots of each order, and the strength with which a shorter context backs a longer one.
-ORDER, SLOTS, STRENGTH = 6, 1 << 16, 2.0
+from .common import written
+
+#: Longest n-gram, and the strength with which a shorter context backs a longer one.
+ORDER, STRENGTH = 6, 2.0
+#: Bits of a character in a packed n-gram (256 byte values, the start and the end), keys that are broadcast before a join, and the unit of scores: sums of whole units don't depend on their order.
+BITS, HEAD, UNIT = 9, 4096, float(1 << 32)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,47 +54,111 @@ def matching_rule(host: Column, path: Column, rules: tuple[UrlRule, ...] = RULES
     return text, verdict
 
 
-def _grams(urls: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of every character's n-grams and contexts, (ORDER, characters) each, and each character's URL."""
-    raw = [u.encode() for u in urls]
-    owner = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
-    pad = b"\x02" * ORDER
-    text = np.frombuffer(b"".join(pad + r + b"\x03" for r in raw), np.uint8).astype(np.uint64) + 1
-    end = np.concatenate([np.arange(len(r) + 1) for r in raw]) if raw else np.empty(0, int)
-    starts = np.cumsum([0, *[len(r) + 1 + ORDER for r in raw[:-1]]]) if raw else np.empty(0, int)
-    at = (starts[owner] + ORDER + end).astype(np.int64) if len(owner) else np.empty(0, np.int64)
-    context = np.full(len(at), 0x9E3779B97F4A7C15, np.uint64)
-    grams, contexts = np.empty((ORDER, len(at)), np.int64), np.empty((ORDER, len(at)), np.int64)
-    for k in range(ORDER):  # a gram of order k is k characters of context and the character itself
-        if k:
-            context = (context ^ text[at - k]) * np.uint64(0x100000001B3)
-        for into, h in ((contexts, context), (grams, (context ^ (text[at] << np.uint64(9))) * np.uint64(0xC2B2AE3D27D4EB4F))):
-            h = h ^ (h >> np.uint64(29))
-            h = h * np.uint64(0xBF58476D1CE4E5B9)
-            into[k] = (h >> np.uint64(40)) % np.uint64(SLOTS)
-    return grams, contexts, owner
+def _windows(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Every character, the end included, with the ORDER - 1 before it, packed in a long; and each one's URL."""
+    if not urls:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    n = np.array([len(u) + 1 for u in urls])
+    text = np.frombuffer(b"".join(bytes(ORDER - 1) + u + b"\0" for u in urls), np.uint8).astype(np.int64)
+    ends = np.cumsum(n + ORDER - 1)
+    text[ends - 1] = 257
+    text[((ends - n - ORDER + 1)[:, None] + np.arange(ORDER - 1)).ravel()] = 256
+    owner = np.repeat(np.arange(len(urls)), n)
+    at = np.arange(len(owner)) + (owner + 1) * (ORDER - 1)
+    return reduce(np.bitwise_or, [text[at - k] << BITS * k for k in range(ORDER)]), owner
+
+
+def _keys(w: Column) -> Column:
+    """The n-grams that end a window and their contexts, each order's; the number of the kind stands above the characters."""
+    gram = lambda k: w.bitwiseAND(F.lit((1 << BITS * (k + 1)) - 1))
+    kind = lambda t, x: x.bitwiseOR(F.lit(t << BITS * ORDER))
+    return F.array(*[kind(k, gram(k)) for k in range(ORDER)], *[kind(ORDER + k, F.shiftright(gram(k), BITS)) for k in range(ORDER)])
+
+
+def _looked_up(rows: DataFrame, found: DataFrame, key: str, heat: str) -> DataFrame:
+    """rows joined with found, which has every key once and in heat its number of rows.
+
+    The HEAD keys of most rows are broadcast. Any other has less than 1 / HEAD of the rows.
+    """
+    head = found.orderBy(F.desc(heat), key).limit(HEAD).drop(heat)
+    rest = rows.join(F.broadcast(head.select(key)), key, "left_anti").join(found.drop(heat), key)
+    return rows.join(F.broadcast(head), key).unionByName(rest)
+
+
+def _counted(addresses: DataFrame, sums: list[str]) -> DataFrame:
+    """(w, sums): each window's occurrences in all addresses, weighted by these columns; each batch's sums before the shuffle."""
+
+    def run(batches):
+        for b in batches:
+            w, owner = _windows(b.column("u").to_pylist())
+            w, at = np.unique(w, return_inverse=True)
+            by = [np.bincount(at, b.column(c).to_numpy()[owner], len(w)).astype(np.int64) for c in sums]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), *[pa.array(x) for x in by]], ["w", *sums])
+
+    kinds = ", ".join(f"{c} long" for c in sums)
+    return addresses.select("u", *sums).mapInArrow(run, f"w long, {kinds}").groupBy("w").agg(*[F.sum(c).alias(c) for c in sums])
 
 
 @dataclass(frozen=True)
 class UrlModel:
-    """counts[class, gram or context, order, slot]: a fixed size, whatever the number of URLs."""
+    """counts (key, rejected, accepted): exact, one row for each n-gram and each context that was seen."""
 
-    counts: np.ndarray
+    counts: DataFrame
     threshold: float = 0.0
 
     def ratio(self, urls: list[str]) -> np.ndarray:
         """Length-normalised log-likelihood under the accepted minus that under the rejected."""
         if not urls:
             return np.empty(0)
-        grams, contexts, owner = _grams(urls)
-        logs = []
-        for c in (0, 1):
-            p = np.full(grams.shape[1], 1 / 256)
-            for k in range(ORDER):
-                n, m = self.counts[c, 0, k][grams[k]], self.counts[c, 1, k][contexts[k]]
-                p = (np.minimum(n, m) + STRENGTH * p) / (m + STRENGTH)
-            logs.append(np.bincount(owner, np.log(p), len(urls)))
-        return (logs[1] - logs[0]) / np.bincount(owner, minlength=len(urls))
+        rows = self.counts.sparkSession.createDataFrame([(u.encode(),) for u in urls], "u binary")
+        got = {bytes(r["u"]): r["ratio"] for r in _scored(_addresses(rows.withColumn("ok", F.lit(None).cast("boolean"))), self.counts).collect()}
+        return np.array([got[u.encode()] for u in urls])
+
+
+def _addresses(rows: DataFrame) -> DataFrame:
+    """Each address (u) once, with its rows of each class and of all, and whether it is kept aside for calibration."""
+    ok = F.col("ok")
+    each = rows.groupBy("u").agg(F.count_if(~ok).alias("rejected"), F.count_if(ok).alias("accepted"), F.count("*").alias("n_rows"))
+    return written(each.select(F.monotonically_increasing_id().alias("uid"), "*", (F.pmod(F.xxhash64("u"), F.lit(5)) == 0).alias("aside")), "addresses")
+
+
+def _learnt(addresses: DataFrame) -> DataFrame | None:
+    """A model's counts from all labelled addresses that aren't kept aside; None unless both classes occur."""
+    seen = _counted(addresses.where("not aside and rejected + accepted > 0"), ["rejected", "accepted"])
+    each = seen.select(F.explode(_keys(F.col("w"))).alias("key"), "rejected", "accepted")
+    counts = written(each.groupBy("key").agg(F.sum("rejected").alias("rejected"), F.sum("accepted").alias("accepted")), "grams")
+    return counts if counts.where((F.col("key") == ORDER << BITS * ORDER) & (F.col("rejected") > 0) & (F.col("accepted") > 0)).count() else None
+
+
+def _scored(addresses: DataFrame, counts: DataFrame) -> DataFrame:
+    """addresses with ratio.
+
+    What a character adds depends only on its window. It is found once for each window, from
+    the counts of the window's n-grams and contexts, and then added up for each address.
+    """
+    windows = written(_counted(addresses.withColumn("n", F.lit(1).cast("long")), ["n"]), "windows")
+    each = windows.select("w", "n", F.explode(_keys(F.col("w"))).alias("key"))
+    known = each.groupBy("key").agg(F.count("*").alias("heat")).join(counts, "key", "left")
+    known = written(known.select("key", "heat", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("rejected", "accepted")]), "known")
+    x = F.sort_array(F.collect_list(F.struct("key", "rejected", "accepted")))  # by kind
+    found = _looked_up(each, known, "key", "heat").groupBy("w", "n").agg(x.alias("x"))
+
+    def log(c: str) -> Column:
+        p = F.lit(1 / 256)
+        for k in range(ORDER):
+            p = (F.get("x", F.lit(k))[c] + STRENGTH * p) / (F.get("x", F.lit(ORDER + k))[c] + STRENGTH)
+        return F.log(p)
+
+    scores = written(found.select("w", "n", F.round((log("accepted") - log("rejected")) * UNIT).cast("long").alias("units")), "scores")
+
+    def run(batches):
+        for b in batches:
+            w, owner = _windows(b.column("u").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("uid").to_numpy()[owner]), pa.array(w, pa.int64())], ["uid", "w"])
+
+    each = addresses.select("uid", "u").mapInArrow(run, "uid long, w long")
+    sums = _looked_up(each, scores, "w", "n").groupBy("uid").agg(F.sum("units").alias("units"))
+    return written(addresses.join(sums, "uid").withColumn("ratio", F.col("units") / UNIT / (F.length("u") + 1)).drop("units"), "ratios")
 
 
 def _address(url: Column) -> Column:
@@ -98,57 +167,29 @@ def _address(url: Column) -> Column:
 
 
 def train(labelled: DataFrame, url: str = "url", verdict: str = "verdict") -> UrlModel | None:
-    """Count the n-grams of all labelled URLs, each task's sums before the shuffle; null verdicts are skipped.
+    """Count the n-grams of all labelled URLs; null verdicts are skipped.
 
     A fifth of the URLs, chosen by their hash, only calibrates the threshold: the one with the
     least mean of the two classes' error rates. None unless both classes occur.
     """
-    rows = labelled.where(F.col(verdict).isin("allow", "block")).select(_address(F.col(url)).alias("u"), (F.col(verdict) == "allow").alias("ok"))
-    aside = F.pmod(F.xxhash64("u"), F.lit(5)) == 0
+    rows = labelled.where(F.col(verdict).isin("allow", "block")).select(_address(F.col(url)).cast("binary").alias("u"), (F.col(verdict) == "allow").alias("ok"))
+    addresses = _addresses(rows)
+    counts = _learnt(addresses)
+    return None if counts is None else UrlModel(counts, _threshold(_scored(addresses.where("aside"), counts)))
 
-    def count(batches):
-        for b in batches:
-            urls, ok = b.column("u").to_pylist(), np.array(b.column("ok").to_pylist(), bool)
-            grams, contexts, owner = _grams(urls)
-            for kind, slots in ((0, grams), (1, contexts)):
-                for k in range(ORDER):
-                    n = [np.bincount(slots[k][ok[owner] == bool(c)], minlength=SLOTS) for c in (0, 1)]
-                    slot = np.flatnonzero(n[0] + n[1])
-                    yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(slot), kind, np.int32)), "k": pa.array(np.full(len(slot), k, np.int32)), "slot": pa.array(slot, pa.int32()), "rejected": pa.array(n[0][slot], pa.int64()), "accepted": pa.array(n[1][slot], pa.int64())})
-
-    sums = rows.where(~aside).mapInArrow(count, "kind int, k int, slot int, rejected long, accepted long").groupBy("kind", "k", "slot").agg(F.sum("rejected").alias("r"), F.sum("accepted").alias("a"))
-    counts = np.zeros((2, 2, ORDER, SLOTS), np.float32)
-    got = sums.toArrow()  # at most 2 * ORDER * SLOTS rows
-    at = [got.column(c).to_numpy() for c in ("kind", "k", "slot")]
-    for c, name in ((0, "r"), (1, "a")):
-        counts[c, at[0], at[1], at[2]] = got.column(name).to_numpy()
-    if not counts[0].any() or not counts[1].any():
-        return None
-    model = UrlModel(counts)
-    scored = _scored(rows.where(aside), model, ["ok"], "u")
-    bins = scored.groupBy(F.least(F.greatest(F.round(F.col("ratio") * 100), F.lit(-500)), F.lit(500)).cast("int").alias("bin")).agg(F.sum(F.col("ok").cast("long")).alias("a"), F.sum((~F.col("ok")).cast("long")).alias("r")).orderBy("bin").collect()
+
+def _threshold(scored: DataFrame) -> float:
+    """The ratio that parts the labelled addresses kept aside best."""
+    bins = scored.where("aside and rejected + accepted > 0").groupBy(F.least(F.greatest(F.round(F.col("ratio") * 100), F.lit(-500)), F.lit(500)).cast("int").alias("bin")).agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r")).orderBy("bin").collect()
     a, r = np.array([x["a"] for x in bins], float), np.array([x["r"] for x in bins], float)
     if not a.sum() or not r.sum():
-        return model
+        return 0.0
     wrong = [(a[:i].sum() / a.sum() + r[i:].sum() / r.sum(), i) for i in range(len(bins) + 1)]
     at = min(wrong)[1]
     # Any threshold between the bins on both sides of the split is as good: 0 if it lies there, else the middle.
     low = (bins[at - 1]["bin"] + 0.5) / 100 if at else -np.inf
     high = (bins[at]["bin"] - 0.5) / 100 if at < len(bins) else np.inf
-    middle = 0.0 if low <= 0 <= high else high if low == -np.inf else low if high == np.inf else (low + high) / 2
-    return UrlModel(counts, float(middle))
-
-
-def _scored(df: DataFrame, model: UrlModel, keep: list[str], address: str) -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model)  # 2 * 2 * ORDER * SLOTS floats
-
-    def run(batches):
-        for b in batches:
-            ratio = shared.value.ratio(b.column(address).to_pylist())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(ratio, pa.float64())], [*keep, "ratio"])
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, address])).mapInArrow(run, f"{kinds}, ratio double")
+    return float(0.0 if low <= 0 <= high else high if low == -np.inf else low if high == np.inf else (low + high) / 2)
 
 
 def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -160,11 +201,13 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, url: str = "url"
     Without both kinds of labels everything else is allowed.
     """
     host, path = parts(F.col(url))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), _address(F.col(url)).alias("__u"), F.col(url).alias("__url"))
+    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), _address(F.col(url)).cast("binary").alias("u"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("page_id", "host", "path", "__u", "__url", rule.alias("rule"), verdict.alias("by_rule"))
-    model = train(base.select(F.col("__url").alias("url"), F.col("by_rule").alias("verdict")))
-    if model is None:
+    base = base.select("page_id", "host", "path", "u", rule.alias("rule"), verdict.alias("by_rule"))
+    addresses = _addresses(base.select("u", (F.col("by_rule") == "allow").alias("ok")))
+    counts = _learnt(addresses)
+    if counts is None:
         return base.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("ratio"))
-    scored = _scored(base, model, ["page_id", "host", "path", "rule", "by_rule"], "__u")
-    return scored.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("ratio") >= model.threshold, "allow").otherwise("block")).alias("verdict"), "ratio")
+    scored = _scored(addresses, counts)
+    judged = _looked_up(base, scored.select("u", "n_rows", "ratio"), "u", "n_rows")
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.when(F.col("ratio") >= _threshold(scored), "allow").otherwise("block")).alias("verdict"), "ratio")

@@ -271,6 +271,41 @@ def test_url_model_learns(spark):
     assert model.ratio(["goodnew.net/page"])[0] > model.threshold > model.ratio(["spamwinnew.net/page"])[0]
 
 
+def url_ratios_by_hand(rows, urls):
+    """rows: (address, accepted). No context shares its count with another."""
+    seen, pad = Counter(), [256] * 5
+    for u, ok in rows:
+        t = pad + list(u.encode()) + [257]
+        seen.update((ok, kind, tuple(t[i - k : i + 1 - kind])) for i in range(5, len(t)) for k in range(6) for kind in (0, 1))
+    out = []
+    for u in urls:
+        t, total = pad + list(u.encode()) + [257], 0.0
+        for i in range(5, len(t)):
+            for ok in (False, True):
+                p = 1 / 256
+                for k in range(6):
+                    p = (seen[ok, 0, tuple(t[i - k : i + 1])] + 2 * p) / (seen[ok, 1, tuple(t[i - k : i])] + 2)
+                total += np.log(p) if ok else -np.log(p)
+        out.append(total / (len(t) - 5))
+    return out
+
+
+@pytest.mark.parametrize("head", [4096, 3])
+def test_url_counts_are_exact(spark, monkeypatch, head):
+    monkeypatch.setattr(url_filter, "HEAD", head, raising=False)
+    rng = np.random.default_rng(5)  # far more contexts than 65,536
+    word = lambda a, b: bytes(rng.integers(a, b, 30).tolist()).decode()
+    rows = [(word(97, 118) if k % 2 else word(102, 123), k % 2 == 1) for k in range(6000)] + [("twice/\u00fc", True)] * 2
+    df = spark.createDataFrame([("http://" + u, "allow" if ok else "block") for u, ok in rows], "url string, verdict string")
+    aside = {r["u"] for r in df.select(F.substring("url", 8, 99).alias("u")).where(F.pmod(F.xxhash64("u"), F.lit(5)) == 0).collect()}
+    urls = [word(97, 123) for _ in range(50)] + [u for u, _ in rows[:20]] + ["", "twice/\u00fc", "\x00\x02\x03"]
+    want = url_ratios_by_hand([(u, ok) for u, ok in rows if u not in aside], urls)
+    model = url_filter.train(df)
+    assert model.ratio(urls) == pytest.approx(want, abs=1e-6)
+    pages = df.select(F.lit(1).alias("page_id"), "url").union(spark.createDataFrame([(2, "nothing"), (2, None)], "page_id long, url string"))
+    assert url_filter.judge(pages).count() == pages.count()
+
+
 def test_html(spark):
     page = '<html><head><title>t</title><style>p{}</style></head><body><nav><a>menu</a></nav><div class="ad box">buy</div><article><h1>Head &amp; tail</h1><p>One <b>bold\n word</b><br><p>Two<script>x="</p>"</script></p><aside>side</aside><div id="comments"><p>reply</p></div></article><footer>&copy; f</footer>'
     plain = lambda k: f"<body><div>Site name</div><p>Story number {k} is told here</p><p>Ends {k}</p><div>All rights kept</div></body>"
