@@ -1,16 +1,17 @@
 """Main text of web pages: page structure, and differences from the nearest page by URL.
 
 A page is read into text blocks. Parts that HTML marks as something else (menus, headers,
-footers, sidebars, forms, scripts, notices, adverts, comments) are left out. If the page
-names its article, that is its text. The other blocks, whose part the markup doesn't tell,
-are compared with those of the pages next to it in its host's order of paths: lines that a
-longest common subsequence aligns with either neighbour's are the site's and are deleted.
+footers, sidebars, forms, scripts, notices, adverts, comments) are left out. All other blocks
+of every page are compared with those of the pages next to it in its host's order of paths:
+lines that a longest common subsequence aligns with either neighbour's are the site's and are
+deleted; lines within an article only if they are aligned with all neighbours'.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -126,20 +127,43 @@ def aligned(a: list[int], b: list[int]) -> list[int]:
     return found[::-1]
 
 
+def site_lines(own: list[int], inside: list[bool], others: list[list[int]]) -> list[int]:
+    """Positions of the lines that others, the neighbours' lines, show to be the site's.
+
+    A page doesn't lose its whole text: if nothing would be left, lines must be aligned with
+    all neighbours', and if that leaves nothing either, its article stays, or else all lines.
+    """
+    votes = [0] * len(own)
+    for other in others:
+        common = set(own) & set(other)  # other lines are in no common subsequence
+        at = [k for k, x in enumerate(own) if x in common]
+        for k in aligned([own[k] for k in at], [x for x in other if x in common]):
+            votes[at[k]] += 1
+    every = range(len(own))
+    for gone in (
+        [k for k in every if others and votes[k] >= (len(others) if inside[k] else 1)],
+        [k for k in every if others and votes[k] == len(others)],
+        [k for k in every if not inside[k]],
+    ):
+        if len(gone) < len(own):
+            return gone
+    return []
+
+
 def _parsed(pages: DataFrame, html_col: str, keep: dict[str, str]) -> DataFrame:
-    """keep's columns, ``lines``, and ``hashes`` of the lines if they lie outside any article (else none)."""
+    """keep's columns, ``lines``, their ``hashes``, and whether they lie ``inside`` an article."""
 
     def run(batches):
         for b in batches:
-            lines, hashes = [], []
+            lines, hashes, inside = [], [], []
             for t in b.column("__html"):
                 found = blocks(t.as_py() or "")
-                inside = [text for text, main, _ in found if main]
-                lines.append(inside or [text for text, _, _ in found])
-                hashes.append([] if inside else [xxhash.xxh3_64_intdigest(f"{where}\n{text}") - (1 << 63) for text, _, where in found])
-            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64()))], [*keep, "lines", "hashes"])
+                lines.append([text for text, _, _ in found])
+                hashes.append([xxhash.xxh3_64_intdigest(f"{where}\n{text}") - (1 << 63) for text, _, where in found])
+                inside.append([main for _, main, _ in found])
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in keep], pa.array(lines, pa.list_(pa.string())), pa.array(hashes, pa.list_(pa.int64())), pa.array(inside, pa.list_(pa.bool_()))], [*keep, "lines", "hashes", "inside"])
 
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in keep.items()) + ", lines array<string>, hashes array<bigint>")
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, ", ".join(f"{k} {v}" for k, v in keep.items()) + ", lines array<string>, hashes array<bigint>, inside array<boolean>")
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
@@ -178,16 +202,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_co
     def difference(batches):
         for b in batches:
             kept = []
-            for lines, own, *others in zip(*[b.column(c).to_pylist() for c in ("lines", "hashes", "prev", "next")], strict=True):
-                gone: set[int] = set()
-                for other in others:
-                    shared = aligned(own, other) if other else []
-                    if len(shared) <= most_shared * len(own):
-                        gone.update(shared)
+            for lines, own, inside, *others in zip(*[b.column(c).to_pylist() for c in ("lines", "hashes", "inside", "prev", "next")], strict=True):
+                others = [x for x in others if x and sum((Counter(own) & Counter(x)).values()) <= most_shared * len(own)]
+                gone = set(site_lines(own, inside, others))
                 kept.append([t for k, t in enumerate(lines) if k not in gone])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(kept, pa.list_(pa.string()))], ["page_id", "url", "lines"])
 
-    joined = parsed.where(open_pages).join(near, ["host", "path"]).select("page_id", "url", "lines", "hashes", "prev", "next")
+    joined = parsed.where(open_pages).join(near, ["host", "path"]).select("page_id", "url", "lines", "hashes", "inside", "prev", "next")
     cut = joined.mapInArrow(difference, f"page_id {kind}, url string, lines array<string>")
     text = F.array_join("lines", "\n")
     return parsed.where(~open_pages).select("page_id", "url", "lines").unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

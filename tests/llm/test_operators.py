@@ -316,6 +316,21 @@ def test_html(spark):
     assert got[5]["text"] == "Story number 1 is told here\nEnds 1" and got[6]["text"] == got[7]["text"] == "Story number 2 is told here\nEnds 2"
 
 
+def extracted(spark, rows):
+    return {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_differences_reach_pages_with_articles(spark):
+    teaser = lambda k: f"<body><div>Site name</div><div><p>Body {k} begins</p><p>Body {k} ends</p></div><article>Teaser {k}</article></body>"
+    inside = lambda k: f"<body><article><p>Follow us</p><p>Story {k}</p><p>More of {k}</p></article></body>"
+    rows = [(k, f"http://a.com/{k}", teaser(k)) for k in range(3)] + [(k, f"http://b.com/{k}", inside(k)) for k in range(3, 6)]
+    rows += [(6, "http://c.com/1", "<article><p>a</p><p>told twice</p><p>x</p></article>"), (7, "http://c.com/2", "<article><p>b</p><p>told twice</p><p>y</p></article>"), (8, "http://c.com/3", "<article>c</article>")]
+    got = extracted(spark, rows)
+    assert all(got[k] == f"Body {k} begins\nBody {k} ends\nTeaser {k}" for k in range(3))
+    assert all(got[k] == f"Story {k}\nMore of {k}" for k in range(3, 6))
+    assert got[7] == "b\ntold twice\ny"  # only one of two neighbours has the article's line
+
+
 def test_alignment_is_longest():
     rng = np.random.default_rng(6)
     for _ in range(30):
