@@ -2,7 +2,7 @@
 
 A page is read into text blocks. Parts that HTML marks as something else (menus, headers,
 footers, sidebars, forms, scripts, notices, adverts, comments) are left out. All other blocks
-of every page are compared with those of the pages next to it in its host's order of paths:
+of every page are compared with those of the pages next to it in its host's order of URLs:
 lines that a longest common subsequence aligns with either neighbour's are the site's and are
 deleted; lines within an article only if they are aligned with all neighbours'.
 """
@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 
 import pyarrow as pa
 import xxhash
@@ -21,6 +20,9 @@ from pyspark.sql import functions as F
 from .common import written
 from .url_filter import parts
 
+#: Contents of most pages, broadcast before the join.
+HEAD = 256
+
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|textarea|select)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z)|\Z)"
@@ -167,48 +169,57 @@ def _parsed(pages: DataFrame, html_col: str, keep: dict[str, str]) -> DataFrame:
 
 
 def neighbours(lines: DataFrame) -> DataFrame:
-    """(host, path, prev, next): line hashes of the pages before and after each path in its host's order.
+    """(key, hashes, inside, n_pages, prev, next): every content of a host once, with the line hashes before and after it.
 
-    Paths are range-partitioned, so that a host with a third of all pages is many partitions;
-    what stands at their edges comes from a table with one row for each partition.
+    The order is host, path, full URL and page id; copies, of equal line hashes, stand where the
+    first of them does. It is range-partitioned, so that a host with a third of all pages is many
+    partitions; what stands at their edges comes from a table with one row for each partition.
     """
-    one = lines.groupBy("host", "path").agg(F.min("hashes").alias("hashes"))
-    dealt = written(one.repartitionByRange("host", "path").select("*", F.spark_partition_id().alias("pid")), "paths")
-    w = Window.partitionBy("pid").orderBy("host", "path")
-    me = F.struct("host", "path", "hashes")
-    inner = dealt.select("host", "path", "pid", F.lag(me).over(w).alias("prev"), F.lead(me).over(w).alias("next"))
-    edges = dealt.groupBy("pid").agg(F.min(me).alias("first"), F.max(me).alias("last"))
+    order = ["host", "path", "url", "page_id", "key"]
+    first = F.min(F.struct("path", "url", "page_id")).alias("at")
+    one = lines.groupBy("host", "key").agg(first, F.min("hashes").alias("hashes"), F.min("inside").alias("inside"), F.count("*").alias("n_pages")).select("host", "at.*", "key", "hashes", "inside", "n_pages")
+    dealt = written(one.repartitionByRange(*order).select("*", F.spark_partition_id().alias("pid")), "contents")
+    w = Window.partitionBy("pid").orderBy(*order)
+    me, at = F.struct("host", "hashes"), F.struct(*order)
+    inner = dealt.select("host", "key", "hashes", "inside", "n_pages", "pid", F.lag(me).over(w).alias("prev"), F.lead(me).over(w).alias("next"))
+    edges = dealt.groupBy("pid").agg(F.min_by(me, at).alias("first"), F.max_by(me, at).alias("last"))
     by_pid = Window.partitionBy(F.lit(0)).orderBy("pid")
     edges = edges.select("pid", F.lag("last").over(by_pid).alias("before"), F.lead("first").over(by_pid).alias("after"))
-    got = inner.join(edges, "pid").select("host", "path", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
+    got = inner.join(edges, "pid").select("host", "key", "hashes", "inside", "n_pages", F.coalesce("prev", "before").alias("prev"), F.coalesce("next", "after").alias("next"))
     own = lambda c: F.when(F.col(f"{c}.host") == F.col("host"), F.col(f"{c}.hashes"))
-    return got.select("host", "path", own("prev").alias("prev"), own("next").alias("next"))
+    return got.select("key", "hashes", "inside", "n_pages", own("prev").alias("prev"), own("next").alias("next"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_col: str = "html", most_shared: float = 0.8) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page; empty text for null or empty html.
 
-    A neighbour with more than most_shared of the page's lines is a copy and tells nothing of
-    the site, so it is passed over. Pages with an equal path count as one page when neighbours
-    are looked for; pages without host are neighbours of each other. Ties go by host and path.
+    Pages of a host with equal lines are one when neighbours are looked for, and get equal texts;
+    pages without host are neighbours of each other.
     """
     host, path = parts(F.col(url))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).alias("html"))
     kind = base.schema["page_id"].dataType.simpleString()
-    parsed = _parsed(base, "html", {"page_id": kind, "url": "string", "host": "string", "path": "string"})
+    # Of a content, host and lines with their places: 128 bits.
+    content = F.substring(F.sha2(F.concat_ws("\n", "host", F.array_join(F.col("hashes").cast("array<string>"), " "), F.array_join(F.col("inside").cast("array<string>"), " ")), 256), 1, 32)
+    parsed = _parsed(base, "html", {"page_id": kind, "url": "string", "host": "string", "path": "string"}).withColumn("key", content)
     open_pages = F.size("hashes") > 0
-    near = neighbours(parsed.where(open_pages).select("host", "path", "hashes"))
+    near = neighbours(parsed.where(open_pages).select("host", "path", "url", "page_id", "key", "hashes", "inside"))
 
     def difference(batches):
         for b in batches:
-            kept = []
-            for lines, own, inside, *others in zip(*[b.column(c).to_pylist() for c in ("lines", "hashes", "inside", "prev", "next")], strict=True):
-                others = [x for x in others if x and sum((Counter(own) & Counter(x)).values()) <= most_shared * len(own)]
-                gone = set(site_lines(own, inside, others))
-                kept.append([t for k, t in enumerate(lines) if k not in gone])
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(kept, pa.list_(pa.string()))], ["page_id", "url", "lines"])
-
-    joined = parsed.where(open_pages).join(near, ["host", "path"]).select("page_id", "url", "lines", "hashes", "inside", "prev", "next")
-    cut = joined.mapInArrow(difference, f"page_id {kind}, url string, lines array<string>")
-    text = F.array_join("lines", "\n")
-    return parsed.where(~open_pages).select("page_id", "url", "lines").unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+            masks = []
+            for own, inside, *others in zip(*[b.column(c).to_pylist() for c in ("hashes", "inside", "prev", "next")], strict=True):
+                gone = set(site_lines(own, inside, [x for x in others if x]))
+                masks.append([k in gone for k in range(len(own))])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("n_pages"), pa.array(masks, pa.list_(pa.bool_()))], ["key", "n_pages", "gone"])
+
+    found = written(near.mapInArrow(difference, "key string, n_pages long, gone array<boolean>"), "site-lines")
+    # What most pages share is broadcast: of any other content there is less than 1 / HEAD of the pages.
+    head = found.where("n_pages > 1").orderBy(F.desc("n_pages"), "key").limit(HEAD).select("key", F.col("gone").alias("hot"))
+    rest = found.where(F.array_contains("gone", True)).join(F.broadcast(head.select("key")), "key", "left_anti").select("key", "gone")
+    page = parsed.select("page_id", "url", "lines", "key").join(F.broadcast(head), "key", "left")
+    # These pages and empty ones have no partner in rest; their keys are salted, so that they don't meet in one task.
+    page = page.withColumn("key", F.when(F.col("hot").isNull() & (F.size("lines") > 0), F.col("key")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    page = page.join(rest, "key", "left").withColumn("gone", F.coalesce("hot", "gone"))
+    text = F.array_join(F.filter("lines", lambda x, k: ~F.coalesce(F.get("gone", k), F.lit(False))), "\n")
+    return page.select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))

@@ -331,6 +331,18 @@ def test_html_differences_reach_pages_with_articles(spark):
     assert got[7] == "b\ntold twice\ny"  # only one of two neighbours has the article's line
 
 
+def test_html_pairs_pages_of_one_path_and_beside_copies(spark):
+    page = lambda k: "<body>" + "".join(f"<div>Menu line {m}</div>" for m in range(10)) + f"<p>Story {k}</p><p>Ends {k}</p></body>"
+    rows = [(k, f"http://a.com/index.php?id={k}", page(k)) for k in range(4)] + [(k, None, page(k)) for k in range(4, 7)]
+    rows += [(7, "http://b.com/1", page(7)), (8, "http://b.com/2", page(8)), (9, "http://b.com/3", page(8)), (10, "http://b.com/4", page(8)), (11, "http://b.com/5", page(9))]
+    rows += [(12, "http://c.com/1", page(7)), (13, "http://c.com/2", page(7)), (14, "http://d.com/1", "<p>one</p>"), (15, "http://d.com/2", "<p>one</p><p>two</p>")]
+    got = extracted(spark, rows)
+    assert all(got[k] == f"Story {k}\nEnds {k}" for k in range(9))
+    assert got[8] == got[9] == got[10] and got[11] == "Story 9\nEnds 9"
+    assert got[12] == got[13] and got[12].startswith("Menu line 0\n")  # nothing but copies on the host
+    assert got[14] == "one" and got[15] == "two"  # no page is emptied
+
+
 def test_alignment_is_longest():
     rng = np.random.default_rng(6)
     for _ in range(30):
