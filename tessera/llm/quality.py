@@ -31,6 +31,9 @@ SYMBOLS = "#*$%&|<>"
 #: Low bits of a sorted long that hold a window's position; the rest holds its hash.
 POSITION_BITS = 24
 
+#: Words of a window whose distinct words are counted. Of a longer text's words fewer are distinct, however clean it is; of a window's it depends on the text alone.
+WINDOW = 500
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -78,7 +81,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     rest = ["row", "__w", "__lines", "word_chars", "n_symbols", "n_stop_words"]
     # Hashes of 2, 4 and then 5 consecutive words; shorter arrays are padded with null, cut off below.
-    out = out.select(*rest, "__h", F.zip_with(h, later(h, 1), pair).alias("__h2"), F.size(F.array_distinct("__h")).alias("n_distinct_words"),
+    out = out.select(*rest, "__h", F.zip_with(h, later(h, 1), pair).alias("__h2"), F.aggregate(
+                         F.sequence(F.lit(0), F.greatest(F.ceil(n / WINDOW).cast("int") - 1, F.lit(0))), F.lit(0), lambda s, k: s + F.size(F.array_distinct(F.slice("__h", k * WINDOW + 1, WINDOW))),
+                     ).alias("n_distinct_words"),
                      F.size(F.filter(F.zip_with(h, later(h, 1), lambda a, b: a == b), lambda x: x)).alias("n_adjacent"))
     rest += ["n_distinct_words", "n_adjacent"]
     out = out.select(*rest, "__h", F.zip_with("__h2", later(F.col("__h2"), 2), pair).alias("__h4"))

@@ -47,6 +47,20 @@ def test_quality_keeps_columns_and_clean_rows(spark, odd_docs, no_docs):
     assert judged.where("not base_failed and not kept").count() == 0
 
 
+def test_quality_keeps_long_clean_texts(spark):
+    rng = np.random.default_rng(7)
+    vocabulary = ["the"] + [f"word{k}" for k in range(3000)]
+    book = " ".join(vocabulary[k] for k in np.where(rng.random(60_000) < 0.1, 0, rng.integers(0, 3001, 60_000)))
+    few = " ".join(["the", "and", *(f"w{k}" for k in range(10))][k] for k in rng.integers(0, 12, 2000))
+    rows = [(1, book), (2, few), (3, " ".join(["the cat"] * 400)), (4, ""), (5, "x " * 501)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).select("row.doc_id", "kept", "n_words", "n_distinct_words", "n_repeat_words").collect()}
+    assert len(set(book.split())) < 0.1 * got[1]["n_words"] and got[1]["kept"]
+    for k, t in rows:
+        w = t.split()
+        assert got[k]["n_distinct_words"] == sum(len(set(w[i : i + 500])) for i in range(0, len(w), 500))
+    assert not any(got[k]["kept"] for k in (2, 3, 4, 5))
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 100, 5000):
