@@ -101,9 +101,9 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda x: x,
     )
     by_hash = F.filter(F.zip_with("__s", F.zip_with("__eq", F.concat(F.array(F.lit(False)), F.slice("__eq", 1, F.size("__eq") - 1)), lambda a, b: a | b), lambda x, e: F.when(e, pos(x))), lambda x: x.isNotNull())
-    # Two different windows share a hash, or positions don't fit: sort the windows themselves.
+    # Two different windows share a hash, or positions don't fit (they spoil hashes, so repeats may go unseen): sort the windows themselves.
     window = lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(5)]).alias("t"), i.alias("i"))
-    slow = F.col("__s").isNotNull() & ((n >= 1 << POSITION_BITS) | clash)
+    slow = (n >= 1 << POSITION_BITS) | (F.col("__s").isNotNull() & clash)
     out = out.select(*rest, F.when(F.col("__s").isNotNull(), by_hash).alias("__by_hash"), F.when(slow, F.sort_array(F.transform(F.sequence(F.lit(0), n - 5), window))).alias("__pairs"))
     last, at = F.size("__pairs") - 1, lambda k: F.get(F.col("__pairs"), k)
     marked = F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & (at(k)["t"] == at(k - 1)["t"])) | ((k < last) & (at(k)["t"] == at(k + 1)["t"])))

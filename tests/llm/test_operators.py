@@ -61,6 +61,13 @@ def test_quality_keeps_long_clean_texts(spark):
     assert not any(got[k]["kept"] for k in (2, 3, 4, 5))
 
 
+def test_quality_finds_repeats_beyond_the_position_bits(spark, monkeypatch):
+    monkeypatch.setattr(quality, "POSITION_BITS", 4)
+    rows = [(k, " ".join([f"t{k}w{i}" for i in range(40)] + [f"t{k}w{i}" for i in range(20, 25)])) for k in range(20)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string")).select("n_repeat_words").collect()
+    assert [r[0] for r in got] == [10] * 20
+
+
 def test_golomb_round_trip():
     rng = np.random.default_rng(3)
     for n in (0, 1, 2, 100, 5000):
