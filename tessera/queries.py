@@ -147,6 +147,12 @@ def allocated_ids(w: Workload) -> DataFrame:
     return w.log.where(F.col("batch_no") == 0).select("object_id").distinct()
 
 
+@query("SELECT DISTINCT object_id FROM entries")
+def allocated_ids_whole_log(w: Workload) -> DataFrame:
+    """allocated_ids is the case of the first batch."""
+    return w.log.select("object_id").distinct()
+
+
 @query("SELECT r.range AS object_id FROM range(0, (SELECT max(object_id) + 1 FROM entries WHERE batch_no = 0)) r ANTI JOIN (FROM entries WHERE batch_no = 0) e ON e.object_id = r.range")
 def free_ids_first_batch(w: Workload) -> DataFrame:
     return versions.free_ids(w.log.where(F.col("batch_no") == 0).select("object_id").distinct())

@@ -40,6 +40,11 @@ def test_known_values(spark):
     assert len(split) == 38 and split[0]["objects"] == 65
 
 
+def test_allocated_and_free_ids_are_complements(spark):
+    allocated, free = ({r[0] for r in q.QUERIES[name](spark, SF).collect()} for name in ("allocated_ids_whole_log", "free_ids"))
+    assert not allocated & free and allocated | free == set(range(max(allocated) + 1)) and len(allocated) == 150
+
+
 def test_checksum_is_zlibs(spark):
     import zlib
 
