@@ -5,6 +5,7 @@ Every metric is a built-in expression on the whole text. No user function runs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -57,66 +58,98 @@ RULES = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _rest(array: Column, k: int) -> Column:
+    """The array from its element k on."""
+    return F.slice(array, k + 1, F.greatest(F.size(array) - k, F.lit(0)))
+
+
+def _windows(h: Column) -> Column:
+    """Hashes of all windows of five words, from those of the words. Pairs and fours come first; what pairs beyond the end give is cut off."""
+    pair = lambda a, b: F.xxhash64(a, b)
+    four = lambda h2: F.zip_with(h2, _rest(h2, 2), pair)
+    return _let(F.zip_with(h, _rest(h, 1), pair), lambda h2: F.slice(F.zip_with(four(h2), _rest(h, 4), pair), 1, F.greatest(F.size(h) - 4, F.lit(0))))
+
+
+def _repeated(w: Column, h5: Column) -> Column:
+    """Words of w in windows that occur twice or more.
+
+    Hash and position of a window share one long: sorted as numbers, repeated windows become
+    neighbours, and their words are compared where hashes agree.
+    """
+    packed = F.transform(h5, lambda x, i: F.shiftleft(x, POSITION_BITS).bitwiseOR(i.cast("long")))
+    key = lambda x: F.shiftright(x, POSITION_BITS)
+    pos = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
+    differ = lambda i, j: reduce(lambda x, y: x | y, [F.get(w, i + k) != F.get(w, j + k) for k in range(5)])
+    n = F.size(w)
+
+    def covered(at: Column) -> Column:
+        step = lambda s, k: s + F.least(F.lit(5), F.coalesce(F.get(at, k), F.lit(2**30)) - F.get(at, k - 1))
+        return F.when(F.size(at) > 0, F.aggregate(F.sequence(F.lit(1), F.size(at)), F.lit(0), step)).otherwise(0)
+
+    def by_words() -> Column:
+        """Sorts the windows themselves: two different ones share a hash, or positions don't fit (they spoil hashes, so repeats may go unseen)."""
+        window = lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(5)]).alias("t"), i.alias("i"))
+
+        def marked(p: Column) -> Column:
+            same = lambda j, k: F.get(p, j)["t"] == F.get(p, k)["t"]
+            twice = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda k: ((k > 0) & same(k - 1, k)) | ((k < F.size(p) - 1) & same(k, k + 1)))
+            return F.sort_array(F.transform(twice, lambda k: F.get(p, k)["i"]))
+
+        return _let(F.sort_array(F.transform(F.sequence(F.lit(0), n - 5), window)), marked)
+
+    def from_sorted(s: Column, eq: Column) -> Column:
+        pairs = F.zip_with(s, _rest(s, 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        clash = F.exists(F.zip_with(pairs, eq, lambda p, e: e & differ(pos(p["a"]), pos(p["b"]))), lambda x: x)
+        after = F.concat(F.array(F.lit(False)), F.slice(eq, 1, F.size(eq) - 1))
+        hit = F.zip_with(s, F.zip_with(eq, after, lambda a, b: a | b), lambda x, e: F.when(e, pos(x)))
+        slow = (n >= 1 << POSITION_BITS) | clash
+        at = F.when(slow, by_words()).otherwise(F.sort_array(F.filter(hit, lambda x: x.isNotNull())))
+        return F.when((n >= 1 << POSITION_BITS) | F.array_contains(eq, True), _let(at, covered)).otherwise(0)
+
+    equal = lambda s: F.zip_with(s, _rest(s, 1), lambda a, b: F.coalesce(key(a) == key(b), F.lit(False)))
+    return F.when(F.size(h5) > 1, _let(F.sort_array(packed), lambda s: _let(equal(s), lambda eq: from_sorted(s, eq)))).otherwise(0)
+
+
+def metrics(text: Column) -> Column:
+    """All metrics of a text, as one struct expression."""
+
+    def of_words(w: Column) -> Column:
+        return _let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: of_hashes(w, h))
+
+    def of_hashes(w: Column, h: Column) -> Column:
+        windows = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(w) / WINDOW).cast("int") - 1, F.lit(0)))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+            _let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.struct(F.size(x).alias("all"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup"))).alias("lines"),
+            _let(_windows(h), lambda h5: _repeated(w, h5)).cast("long").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).alias("n_stop_words"),
+            F.aggregate(windows, F.lit(0), lambda s, k: s + F.size(F.array_distinct(F.slice(h, k * WINDOW + 1, WINDOW)))).alias("n_distinct_words"),
+            F.size(F.filter(F.zip_with(h, _rest(h, 1), lambda a, b: a == b), lambda x: x)).alias("n_adjacent"),
+        )
+
+    return _let(words(text), of_words)
+
+
 def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs' columns nested in ``row``, and the metrics of each whole text.
 
     Null and empty texts have no words; all counts are 0 and ratios 0.
 
-    Repeated 5-word windows: hashes of the windows are sorted with their positions, and
-    neighbours compared, by their words where hashes agree; covered words are counted by
-    the distance to the next repeated window. n log n in the length of the text.
+    The metrics are one expression, generated as the only element of an array: what is filtered,
+    joined or grouped by them stays above that step, so they are computed once for each row.
     """
     t = F.coalesce(F.col(f"row.{text}"), F.lit(""))
-    base = docs.select(F.struct("*").alias("row"))
-    base = base.select("row", t.alias("__t"), words(t).alias("__w"), F.split(t, "\n").alias("__lines"))
-    later = lambda c, k: F.slice(c, k + 1, F.greatest(F.size(c) - k, F.lit(0)))  # noqa: E731  the array from its element k on
-    pair = lambda a, b: F.xxhash64(a, b)
-    w, n, h = F.col("__w"), F.size("__w"), F.col("__h")
-    out = base.select(
-        "row", "__w", F.transform(w, lambda x: F.xxhash64(x)).alias("__h"),
-        F.filter("__lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-        F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
-        (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.size(F.filter(w, lambda x: x.isin(STOP_FORMS))).alias("n_stop_words"),
-    )
-    rest = ["row", "__w", "__lines", "word_chars", "n_symbols", "n_stop_words"]
-    # Hashes of 2, 4 and then 5 consecutive words; shorter arrays are padded with null, cut off below.
-    out = out.select(*rest, "__h", F.zip_with(h, later(h, 1), pair).alias("__h2"), F.aggregate(
-                         F.sequence(F.lit(0), F.greatest(F.ceil(n / WINDOW).cast("int") - 1, F.lit(0))), F.lit(0), lambda s, k: s + F.size(F.array_distinct(F.slice("__h", k * WINDOW + 1, WINDOW))),
-                     ).alias("n_distinct_words"),
-                     F.size(F.filter(F.zip_with(h, later(h, 1), lambda a, b: a == b), lambda x: x)).alias("n_adjacent"))
-    rest += ["n_distinct_words", "n_adjacent"]
-    out = out.select(*rest, "__h", F.zip_with("__h2", later(F.col("__h2"), 2), pair).alias("__h4"))
-    out = out.select(*rest, F.slice(F.zip_with("__h4", later(h, 4), pair), 1, F.greatest(n - 4, F.lit(0))).alias("__h5"))
-    # Hash and position in one long: sorted as numbers, repeated windows become neighbours.
-    packed = F.transform("__h5", lambda x, i: F.shiftleft(x, POSITION_BITS).bitwiseOR(i.cast("long")))
-    out = out.select(*rest, F.sort_array(packed).alias("__s"))
-    key = lambda x: F.shiftright(x, POSITION_BITS)
-    pos = lambda x: x.bitwiseAND(F.lit((1 << POSITION_BITS) - 1)).cast("int")
-    out = out.select(*rest, "__s", F.zip_with("__s", later(F.col("__s"), 1), lambda a, b: F.coalesce(key(a) == key(b), F.lit(False))).alias("__eq"))
-    out = out.select(*rest, F.when(F.array_contains("__eq", True), F.col("__s")).alias("__s"), "__eq")  # null from here on where no window repeats
-    differ = lambda i, j: reduce(lambda x, y: x | y, [F.get(w, i + k) != F.get(w, j + k) for k in range(5)])
-    clash = F.exists(
-        F.zip_with(F.zip_with("__s", later(F.col("__s"), 1), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), "__eq", lambda p, e: e & differ(pos(p["a"]), pos(p["b"]))),
-        lambda x: x,
-    )
-    by_hash = F.filter(F.zip_with("__s", F.zip_with("__eq", F.concat(F.array(F.lit(False)), F.slice("__eq", 1, F.size("__eq") - 1)), lambda a, b: a | b), lambda x, e: F.when(e, pos(x))), lambda x: x.isNotNull())
-    # Two different windows share a hash, or positions don't fit (they spoil hashes, so repeats may go unseen): sort the windows themselves.
-    window = lambda i: F.struct(F.concat_ws(" ", *[F.get(w, i + k) for k in range(5)]).alias("t"), i.alias("i"))
-    slow = (n >= 1 << POSITION_BITS) | (F.col("__s").isNotNull() & clash)
-    out = out.select(*rest, F.when(F.col("__s").isNotNull(), by_hash).alias("__by_hash"), F.when(slow, F.sort_array(F.transform(F.sequence(F.lit(0), n - 5), window))).alias("__pairs"))
-    last, at = F.size("__pairs") - 1, lambda k: F.get(F.col("__pairs"), k)
-    marked = F.filter(F.sequence(F.lit(0), last), lambda k: ((k > 0) & (at(k)["t"] == at(k - 1)["t"])) | ((k < last) & (at(k)["t"] == at(k + 1)["t"])))
-    out = out.select(*rest, F.sort_array(F.when(F.col("__pairs").isNotNull(), F.transform(marked, lambda k: at(k)["i"])).otherwise(F.col("__by_hash"))).alias("__at"))
-    covered = F.aggregate(
-        F.sequence(F.lit(1), F.size("__at")), F.lit(0),
-        lambda s, k: s + F.least(F.lit(5), F.coalesce(F.get(F.col("__at"), k), F.lit(2**30)) - F.get(F.col("__at"), k - 1)),
-    )
+    out = docs.select(F.struct("*").alias("row")).select("row", F.explode(F.array(metrics(t))).alias("__m"))
     return out.select(
-        "row", n.cast("long").alias("n_words"), "word_chars", "n_symbols",
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(F.when(F.size("__at") > 0, covered), F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.size("__lines").alias("n_lines"), "n_stop_words", "n_distinct_words", "n_adjacent",
+        "row", "__m.n_words", "__m.word_chars", "__m.n_symbols", F.col("__m.lines.dup").alias("n_dup_lines"), "__m.n_repeat_words",
+        F.col("__m.lines.all").alias("n_lines"), "__m.n_stop_words", "__m.n_distinct_words", "__m.n_adjacent",
     )
 
 
@@ -153,17 +186,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text")
 
 
 def passing(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns unchanged, that the rules keep, not yet written.
-
-    Kept rows are exploded from arrays of one row, not filtered: a filter on top of the projections
-    would make the optimiser infer constraints from each of their expressions, which doesn't end.
-    For the same reason the result must be written before it is filtered or joined; keep() does so.
-    """
-    judged = judge(docs, rules, text)
-    # rand() is never below 0: it only keeps the optimiser from turning the array into a filter.
-    return judged.select(F.explode(F.when(F.col("kept") & (F.rand(1) >= 0), F.array("row"))).alias("row")).select("row.*")
+    """The rows of docs, all columns unchanged, that the rules keep."""
+    return judge(docs, rules, text).where("kept").select("row.*")
 
 
 def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """passing(), written and read again, for any further use."""
+    """passing(), written and read again, where it is used more than once."""
     return written(passing(docs, rules, text), "passing")
