@@ -3,6 +3,10 @@
 Texts over ``LONG`` characters are cut before a single space that stands between two
 characters that are no white space. Each match of the pattern begins there and none
 crosses it, so the pieces' ids, put together, are the ids of the whole text.
+
+The pattern matcher gives up within very long runs of white space. Such a run is cut out:
+the pattern matches all of it but its last character as one (all of it at the end of a
+text), so that much is merged without the matcher.
 """
 
 from __future__ import annotations
@@ -20,6 +24,9 @@ from pyspark.sql import functions as F
 LONG = 100_000
 #: A safe boundary: one ASCII space between two characters that aren't white space.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: The characters with Unicode's White_Space property, which the pattern calls white space; and a run of them that is long.
+WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+RUN = re.compile(f"[{WHITE}]{{10000,}}")
 
 _encodings: dict = {}
 
@@ -48,10 +55,18 @@ def pieces(text: str, long: int = LONG) -> Iterator[str]:
 
 
 def encode(enc, text: str, long: int = LONG) -> list[int]:
-    """Ids of a whole text, without special tokens."""
+    """Ids of a whole text, without special tokens; none for an empty one."""
     if len(text) <= long:
         return enc.encode_ordinary(text)
-    return [i for p in pieces(text, long) for i in enc.encode_ordinary(p)]
+    ids, start = [], 0
+    for run in RUN.finditer(text):
+        for p in pieces(text[start : run.start()], long):
+            ids += enc.encode_ordinary(p)
+        start = run.end() if run.end() == len(text) else run.end() - 1
+        ids += enc._encode_single_piece(text[run.start() : start].encode())
+    for p in pieces(text[start:], long):
+        ids += enc.encode_ordinary(p)
+    return ids
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id_col: str = "doc_id", digests_only: bool = False) -> DataFrame:
