@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 8, (2, 3, 4), 16
-#: Bounds of the training sample, by the smallest hash: documents for each language, in all, and characters of each.
-PER_LANGUAGE, AT_MOST, TRAIN_CHARS = 600, 6000, 1000
+#: Bounds of the training sample, by the smallest hash: documents for each language and in all. Their whole texts are learnt from.
+PER_LANGUAGE, AT_MOST = 300, 3000
+#: Batches that training takes at least; every window of the sample is used as often as any other, once or more.
+STEPS = 800
 
 
 def windows(texts: list[bytes], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,10 +77,12 @@ class ByteConvNet:
             out[i : i + batch] = _log_softmax(np.maximum(z + self.bias, 0) @ self.out + self.out_bias)
         return out
 
-    def fit(self, rows: np.ndarray, label: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteConvNet:
-        """Adam on the cross-entropy; the classes weigh alike. Gradients flow through the positions of the maxima only."""
+    def fit(self, rows: np.ndarray, label: np.ndarray, length: np.ndarray, steps: int = STEPS, batch: int = 64, rate: float = 4e-3, seed: int = 7) -> ByteConvNet:
+        """Adam on the cross-entropy; the classes weigh alike, and windows of a class by their bytes.
+        Gradients flow through the positions of the maxima only."""
         rng, w, d = np.random.default_rng(seed), max(WIDTHS), EMBED
-        weight = 1 / np.maximum(np.bincount(label, minlength=len(self.langs)), 1)
+        weight = length / np.maximum(np.bincount(label, length, len(self.langs)), 1)[label]
+        epochs = max(1, -(-steps * batch // len(rows)))
         names = ("embed", "conv", "bias", "out", "out_bias")
         m = {k: np.zeros_like(getattr(self, k)) for k in names}
         v = {k: np.zeros_like(getattr(self, k)) for k in names}
@@ -91,7 +95,7 @@ class ByteConvNet:
                 p, at, top, pooled, lp = self.forward(x)
                 g = np.exp(lp)
                 g[np.arange(len(y)), y] -= 1
-                g *= (weight[y] / weight[y].sum())[:, None]
+                g *= (weight[pick] / weight[pick].sum())[:, None]
                 gp = (g @ self.out.T) * (top > 0)
                 span = x.shape[1] - w + 1
                 flat = np.arange(len(x))[:, None] * span + at
@@ -99,8 +103,11 @@ class ByteConvNet:
                 g_conv = np.einsum("nf,nfk->kf", gp, got) * self.mask
                 g_got = gp[:, :, None] * self.conv.T[None]
                 g_embed = np.zeros_like(self.embed)
-                for j in range(w):
-                    np.add.at(g_embed, np.take_along_axis(x, at + j, 1), g_got[:, :, j * d : (j + 1) * d])
+                byte = np.concatenate([np.take_along_axis(x, at + j, 1).ravel() for j in range(w)])
+                order_b = np.argsort(byte, kind="stable")
+                byte = byte[order_b]
+                first = np.flatnonzero(np.r_[True, byte[1:] != byte[:-1]])
+                g_embed[byte[first]] = np.add.reduceat(np.concatenate([g_got[:, :, j * d : (j + 1) * d].reshape(-1, d) for j in range(w)])[order_b], first)
                 step += 1
                 for k, gr in zip(names, (g_embed, g_conv, gp.sum(0), pooled.T @ g, g.sum(0)), strict=True):
                     m[k] = 0.9 * m[k] + 0.1 * gr
@@ -116,8 +123,8 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by: str = "doc_id", per_language: int = PER_LANGUAGE, at_most: int = AT_MOST) -> ByteConvNet | None:
     """Fit on a bounded sample: of each language the labelled rows of the per_language smallest
-    hashes, at_most rows in all, TRAIN_CHARS characters from somewhere in each. Rows with a null
-    text or language, or no letter, teach nothing; None if no row is left.
+    hashes, at_most rows in all, whole texts. Rows with a null text or language, or no letter,
+    teach nothing; None if no row is left. Rows that repeat count as often as they stand.
 
     Which hashes are small is found from ids and languages alone: rows are counted by language and
     by the bits of their hash, so only about twice per_language rows of a language are ranked.
@@ -129,8 +136,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by:
     most = F.coalesce(F.min(F.when(F.col("n") >= per_language, F.col("bits"))), F.max("bits"))
     # One row for each language, at_most of them, the most frequent first.
     bound = counts.groupBy("l").agg(most.alias("most"), F.max("n").alias("n")).orderBy(F.col("n").desc(), "l").limit(at_most).select("l", "most")
-    start = F.expr(f"cast(pmod(xxhash64(k, 'start'), greatest(length(t) - {TRAIN_CHARS}, 1)) as int) + 1")
-    near = keyed.join(F.broadcast(bound), "l").where((F.col("bits") <= F.col("most")) & F.col("t").rlike(r"\p{L}")).select("l", "k", F.substring("t", start, F.lit(TRAIN_CHARS)).alias("t"))
+    near = keyed.join(F.broadcast(bound), "l").where((F.col("bits") <= F.col("most")) & F.col("t").rlike(r"\p{L}")).select("l", "k", "t")
     ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("k", "t"))).where(F.col("r") <= per_language)
     sample = ranked.orderBy("r", "l").limit(at_most).collect()
     if not sample:
@@ -138,15 +144,14 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", order_by:
     langs = sorted({s["l"] for s in sample})
     x, owner, length = windows([s["t"].encode() for s in sample])
     y = np.array([langs.index(s["l"]) for s in sample])[owner]
-    # Windows cut short teach what short texts look like, but very short ones are only noise.
-    use = length >= 24 if (length >= 24).any() else length > 0
-    return ByteConvNet.fresh(langs).fit(x[use], y[use])
+    return ByteConvNet.fresh(langs).fit(x, y, length)
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score) of every row; ``und`` and 0 where the text is null or has no letter.
 
-    Whole texts are scored, window by window. Nothing but the text decides.
+    Whole texts are scored, window by window. Nothing but the text decides: repeated rows are
+    judged alike, and other columns, whatever their names, are not read.
     """
     model = docs.sparkSession.sparkContext.broadcast(net)  # a few kB, whatever the corpus
 
