@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
 PRIOR, GAP, Z_MIN, Z_BOUND, E_MAX = 0.05, -0.08, 2.5, 1.0, 0.1
-#: Bounds: labelled rows of each class, by the smallest hash, that are learnt from, and tokens in the model, by significance.
-PER_CLASS, MOST_TOKENS = 30_000, 50_000
+#: Bound: labelled ids of each class, by the smallest hash, that are learnt from.
+PER_CLASS = 30_000
+#: Bins of evidence, in its logarithm's units, in which the calibration rows are counted.
+BINS = 64
 
 
 def segments(at: list[int], score: list[float], gap: float = GAP) -> list[tuple[float, int, int]]:
@@ -105,8 +107,8 @@ def _counts(docs: DataFrame, text: str) -> DataFrame:
     return per_batch.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def token_weights(docs: DataFrame, text: str = "text", prior: float = PRIOR, z_min: float = Z_MIN, most: int = MOST_TOKENS) -> dict[str, float]:
-    """Log-odds of the tokens that tell classes apart, from rows with ``__y`` 0 or 1."""
+def token_weights(docs: DataFrame, text: str = "text", prior: float = PRIOR, z_min: float = Z_MIN) -> dict[str, float]:
+    """Log-odds of all tokens that tell classes apart, from rows with ``__y`` 0 or 1; they are in the texts of a bounded sample."""
     counts = _counts(docs, text).persist()
     n = counts.agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b")).first()
     a, b = float(n["a"] or 0), float(n["b"] or 0)
@@ -117,7 +119,7 @@ def token_weights(docs: DataFrame, text: str = "text", prior: float = PRIOR, z_m
     up, down = F.col("toxic") + p, F.col("clean") + p
     delta, error = F.log(up / (a + all_p - up)) - F.log(down / (b + all_p - down)), F.sqrt(1 / up + 1 / down)
     scored = counts.select("token", (delta - F.signum(delta) * F.least(Z_BOUND * error, F.abs(delta))).alias("d"), (delta / error).alias("z"))
-    kept = scored.where(F.abs("z") >= z_min).orderBy(F.abs("z").desc(), "token").limit(most).collect()
+    kept = scored.where(F.abs("z") >= z_min).collect()
     counts.unpersist()
     return {r["token"]: float(r["d"]) for r in kept}
 
@@ -135,13 +137,16 @@ def sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class:
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityModel | None:
-    """Counts from three quarters of the sampled rows, calibration on the rest; None without both classes."""
+    """Counts from three quarters of the sampled rows, calibration on the rest; None without both classes.
+
+    Null and empty texts have no tokens. Rows that repeat an id count as often as they stand;
+    what reaches the driver are tokens, sums and counts, however many they are.
+    """
     rows = sample(docs.select("doc_id", F.col(text).alias("text")), labels)
     calibration = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(4)) == 3
     weights = token_weights(rows.where(~calibration))
     if not weights:
         return None
-    raw = ToxicityModel(weights, 1.0, 1.0, 1.0, 0.0)
 
     def run(batches):
         for b in batches:
@@ -151,41 +156,39 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> ToxicityMod
                 hits = [(i, weights[w]) for i, w in enumerate(tokens) if w in weights]
                 best.append(max((s for s, _, _ in segments([i for i, _ in hits], [s for _, s in hits])), default=0.0))
                 n.append(len(tokens))
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "y": b.column("__y"), "best": pa.array(best, pa.float64()), "n": pa.array(n, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"best": pa.array(best, pa.float64()), "n": pa.array(n, pa.int64())})
 
-    held = rows.where(calibration).select("doc_id", "text", "__y").cache()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    got = held.select("doc_id", "text", "__y").mapInArrow(run, f"doc_id {kind}, y int, best double, n long").collect()  # at most 2 * PER_CLASS rows of numbers
-    clean = [(r["best"], max(r["n"], 1)) for r in got if not r["y"]]
-    rate, k = _extreme_value(clean)
+    held = rows.where(calibration).select("text", "__y").cache()
+    clean = held.where("__y = 0").mapInArrow(run, "best double, n long")
+    c = clean.agg(F.count_if(F.col("best") > 0).alias("hits"), F.sum(F.greatest(F.col("best"), F.lit(0.0))).alias("scores"), F.sum(F.greatest(F.col("n"), F.lit(1))).alias("tokens")).first()
+    rate, k = _extreme_value(c["hits"], c["scores"] or 0.0, c["tokens"] or 0)
     fitted = ToxicityModel(weights, rate, k, 1.0, 0.0)
 
     def evidence(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"y": b.column("__y"), "e": pa.array([fitted.evidence(t.as_py() or "") for t in b.column("text")], pa.float64())})
+            yield pa.RecordBatch.from_pydict({"y": b.column("__y"), "x": pa.array([float(np.log1p(fitted.evidence(t.as_py() or ""))) for t in b.column("text")], pa.float64())})
 
-    pairs = held.select("text", "__y").mapInArrow(evidence, "y int, e double").collect()
+    binned = held.mapInArrow(evidence, "y int, x double").groupBy("y", F.floor(F.col("x") * BINS).alias("bin")).agg(F.avg("x").alias("x"), F.count("*").alias("n"))
+    bins = binned.orderBy("y", "bin").collect()  # a few thousand: x is a logarithm
     held.unpersist()
-    slope, offset = _logistic(np.log1p([p["e"] for p in pairs]), np.array([p["y"] for p in pairs], float))
-    return ToxicityModel(raw.weights, rate, k, slope, offset)
+    slope, offset = _logistic(np.array([b["x"] for b in bins]), np.array([b["y"] for b in bins], float), np.array([b["n"] for b in bins], float))
+    return ToxicityModel(weights, rate, k, slope, offset)
 
 
-def _extreme_value(clean: list[tuple[float, int]]) -> tuple[float, float]:
+def _extreme_value(hits: int, scores: float, tokens: int) -> tuple[float, float]:
     """Rate and K of P(S > x) = 1 - exp(-K n exp(-rate x)), from the clean texts with any positive
     segment: the rate from their mean score (one more of score 1 is added), K from their number."""
-    s = np.array([x for x, _ in clean if x > 0])
-    rate = float(np.clip((len(s) + 1) / (s.sum() + 1), 0.2, 2.0))
-    return rate, (len(s) + 0.5) / max(sum(n for _, n in clean), 1)
+    return (hits + 1) / (scores + 1), (hits + 0.5) / max(tokens, 1)
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope and offset by Newton's method, with a small ridge."""
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
+    """Slope and offset by Newton's method, with a small ridge; n: rows that a point stands for."""
     w = np.zeros(2)
     a = np.stack([x, np.ones_like(x)], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
-        step = np.linalg.solve(h, a.T @ (y - p) - ridge * w)
+        h = (a * (n * p * (1 - p))[:, None]).T @ a + ridge * np.eye(2)
+        step = np.linalg.solve(h, a.T @ (n * (y - p)) - ridge * w)
         w += np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -198,7 +201,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text: str = "text", id_c
     passages: first and last token and E-value of each significant toxic passage. Null and
     empty texts have none and get the score of no evidence; without a model scores are 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MOST_TOKENS tokens
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # tokens of a bounded sample of rows
     passage = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("e_value", pa.float64())]))
 
     def run(batches):
