@@ -11,16 +11,25 @@ disjoint slices of each source's permuted draws and shuffles its documents by a
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import small_enough, words, written
 
 WEIGHTS, CAP = (5, 2, 1), 3
-#: Blocks of a source, levels of the tree (2 ** LEVELS shards), and what makes the permutations.
+#: Blocks of a source, levels of the tree (2 ** LEVELS shards), both at least, and what makes the permutations.
 BLOCKS, LEVELS, SEED = 512, 5, 17
-#: Rows of the plan (one for each source and block) up to which it is broadcast, and slices of a shard.
-BROADCAST, SLICE_BITS = 100_000, 6
+#: Rows of a block if one source had them all, and of a shard, on average; beyond them blocks and levels grow with the rows.
+BLOCK_ROWS, SHARD_ROWS = 8192, 1 << 16
+#: Rows of the plan (one for each source and block) up to which it is broadcast, the bits of a shard's slices, and levels after which the tree is written.
+BROADCAST, SLICE_BITS, WRITTEN_LEVELS = 100_000, 3, 6
+
+
+def sizes(rows: int) -> tuple[int, int]:
+    """Blocks of a source and levels of the tree, both from the number of rows."""
+    return max(BLOCKS, 1 << ceil(log2(max(rows / BLOCK_ROWS, 1)))), max(LEVELS, ceil(log2(max(rows / SHARD_ROWS, 1))))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -76,12 +85,14 @@ def split_tree(draws: DataFrame, levels: int = LEVELS) -> DataFrame:
         side = lambda n: F.zip_with("urn", "taken", lambda x, t: F.struct(x["key"].alias("key"), n(x, t).alias("n")))
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), side(lambda x, t: t).alias("urn")), F.struct((F.col("shard") * 2 + 1).alias("shard"), side(lambda x, t: x["n"] - t).alias("urn")))
         node = node.select(F.explode(halves).alias("h")).select("h.shard", "h.urn")
+        if level % WRITTEN_LEVELS == WRITTEN_LEVELS - 1:
+            node = written(node, "tree")
     leaves = node.select("shard", F.explode("urn").alias("x")).select(F.col("x.key.source").alias("source"), "shard", F.col("x.n").alias("n")).where("n > 0")
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return leaves.select("source", "shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"), "n")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, blocks: int = BLOCKS, levels: int = LEVELS) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """docs nested in ``row``, with size, source_size, target and ``draws``: one (shard, place) for each time the row is drawn.
 
     No row is drawn more than cap times. A source's drawn words come within one document of its
@@ -90,8 +101,10 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     words have size 0 and draws that add none.
 
     Texts are never shuffled: block totals are written, and a source has one block at most that is
-    drawn in part, whose rows' hashes and sizes alone are put in order.
+    drawn in part, whose rows' hashes and sizes alone are put in order. Blocks and shards keep
+    their size and become more as rows do.
     """
+    blocks, levels = sizes(docs.count())
     hashed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.col(text)), F.lit(SEED)).alias("h"))
     hashed = hashed.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
     size = F.size(words(F.col(f"row.{text}"))).cast("long").alias("size")
@@ -106,13 +119,16 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     b = b.select("*", F.greatest(F.least(F.col("part") - F.col("before"), "words"), F.lit(0)).alias("extra"))
     b = b.select("*", (F.col("whole") + (F.col("extra") > 0).cast("int")).alias("times"))
     tree = split_tree(b.groupBy("source").agg(F.sum("times").alias("n")), levels)
-    slices = tree.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("slices"))
-    s = slices.alias("s")
-    b = b.alias("b").join(s, F.col("b.source").eqNullSafe(F.col("s.source")), "left").select("b.*", "slices")
-    # Draw k of a block stands at k * n_blocks + at in its source's permuted draws.
-    shard_of = lambda place: F.get(F.filter("slices", lambda x: x["first"] <= place), F.size(F.filter("slices", lambda x: x["first"] <= place)) - 1)["shard"]
-    shards = F.when(F.col("times") > 0, F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda k: shard_of(k * F.col("n_blocks") + F.col("at")))).otherwise(F.array().cast("array<int>"))
-    b = written(b.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "whole", "extra", F.col("words").alias("block_words"), shards.alias("shards")), "plan")
+    b = written(b.select("source", "block", "words", "source_size", "target", "whole", "extra", "times", "at", "n_blocks"), "drawn-blocks")
+    # Draw k of a block stands at k * n_blocks + at in its source's permuted draws; the last slice that begins there or before takes it.
+    place = b.where("times > 0").select("source", "block", F.posexplode(F.sequence(F.lit(1), "times")).alias("k", "one"), "n_blocks", "at").select("source", "block", "k", (F.col("k") * F.col("n_blocks") + F.col("at")).alias("place"))
+    null = lambda kind: F.lit(None).cast(kind)
+    both = tree.select("source", null("int").alias("block"), null("int").alias("k"), F.col("first").alias("place"), "shard").unionByName(place.withColumn("shard", null("int")))
+    in_order = Window.partitionBy("source").orderBy("place", F.col("block").asc_nulls_first())
+    dealt = both.select("source", "block", "k", F.last("shard", True).over(in_order).alias("shard")).where("block is not null")
+    dealt = dealt.groupBy(F.col("source").alias("d_source"), F.col("block").alias("d_block")).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "shard"))), lambda x: x["shard"]).alias("shards"))
+    b = b.join(dealt, b["source"].eqNullSafe(dealt["d_source"]) & (b["block"] == dealt["d_block"]), "left")
+    b = written(b.select(F.col("source").alias("b_source"), F.col("block").alias("b_block"), "source_size", "target", "whole", "extra", F.col("words").alias("block_words"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards")), "plan")
     # One row for each source and block: broadcast while that is few.
     few = small_enough(b, BROADCAST)
 
