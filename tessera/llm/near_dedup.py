@@ -16,7 +16,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import rows_with_id, small_enough, written
@@ -25,10 +25,8 @@ from .components import components
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS components each: a pair of similarity 0.8 shares none with probability 3e-6.
 BANDS, ROWS = 42, 6
-#: Agreement from which documents that share a band are looked at together; far below SIMILARITY.
-LOOK = 0.5
 #: Elements and documents of one task's piece of a group, and rows up to which ids are broadcast.
-PIECE, PIECE_DOCS, BROADCAST = 1_000_000, 2048, 1_000_000
+PIECE, PIECE_DOCS, BROADCAST = 1_000_000, 1024, 1_000_000
 
 U = np.uint64
 
@@ -123,25 +121,11 @@ def _signatures(rows: DataFrame, text: str) -> DataFrame:
     return rows.select("rid", F.col(f"row.{text}").alias("t")).mapInArrow(run, "rid long, sha binary, w long, sig binary")
 
 
-def _alike(links: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Those of links (a, b) whose signatures agree in a share of at least ``least``."""
-    sig = reps.select("rep", "sig")
-    both = links.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b")
-
-    def run(batches):
-        for x in batches:
-            ours, theirs = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint16).reshape(x.num_rows, -1) for c in ("sig_a", "sig_b"))
-            on = pa.array((ours == theirs).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([x.column("a").filter(on), x.column("b").filter(on)], ["a", "b"])
-
-    return both.mapInArrow(run, "a long, b long")
-
-
 def similar(bags: list[np.ndarray], split: int, least: float = SIMILARITY) -> np.ndarray:
     """Labels that join all documents linked by weighted Jaccard similarities of at least ``least``.
 
     bags: hashes of each document's shingles, repeats included. With split > 0, only pairs with
-    one document before it and one from it on count; others are another task's.
+    one document before it and one from it on count.
     """
     n = len(bags)
     keys = []
@@ -189,41 +173,30 @@ def similar(bags: list[np.ndarray], split: int, least: float = SIMILARITY) -> np
     return label
 
 
-def _verified(rows: DataFrame, text: str, groups: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """(a, b): links between documents of a group (node, root), each with its similarity checked.
-
-    A group whose elements don't fit in a piece is dealt into pieces by hash; each pair of pieces
-    is one task's, so all pairs of the group are compared, and no task holds more than two pieces.
-    A task returns at most one link for each of its documents.
-    """
-    g = groups.union(groups.select("root", "root").distinct()).toDF("node", "root").distinct()
-    # Written: a join by the root of a very large group can then be split, and nothing is made twice.
-    g = written(g.join(reps.select(F.col("rep").alias("node"), "w"), "node"), "nodes")
-    total = written(g.groupBy("root").agg(F.greatest(F.ceil(F.sum("w") / PIECE), F.ceil(F.count("*") / PIECE_DOCS)).cast("int").alias("pieces")), "totals")
-    g = g.join(total, "root").select("root", "node", "pieces", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("p"))
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    g = written(g.select("root", "node", "pieces", "p", other.alias("q")).select("root", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "p", F.col("node").alias("rid")), "pieces")
+def _links(rows: DataFrame, text: str, dealt: DataFrame, least: float) -> DataFrame:
+    """(a, b): links found within each task (root, i, j) of dealt (root, i, j, side, rid), at most one
+    for each of its documents. Where both sides occur, only pairs of different sides count."""
     t = rows.select("rid", F.col(f"row.{text}").alias("t"))
-    dealt = t.join(F.broadcast(g) if small_enough(g, BROADCAST // 4) else g, "rid").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "p", "rid")
+    dealt = t.join(F.broadcast(dealt) if small_enough(dealt, BROADCAST // 4) else dealt, "rid").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "rid")
 
     def run(batches):
         cache = _WordHashes()
 
         def links(ids, side, bags):
-            label = similar(bags, sum(side) if 0 < sum(side) < len(side) else 0, least)
+            label = similar(bags, side.count(0) if 0 < sum(side) < len(side) else 0, least)
             pairs = [(ids[k], ids[x]) for x, k in enumerate(label) if x != k]
             return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
 
         last, ids, side, bags = None, [], [], []
         for b in batches:
-            for root, i, j, p, rid, t in zip(*[b.column(c) for c in ("root", "i", "j", "p", "rid", "t")], strict=True):
+            for root, i, j, s, rid, t in zip(*[b.column(c) for c in ("root", "i", "j", "side", "rid", "t")], strict=True):
                 key = root.as_py(), i.as_py(), j.as_py()
                 if key != last and ids:
                     yield links(ids, side, bags)
                     ids, side, bags = [], [], []
                 last = key
                 ids.append(rid.as_py())
-                side.append(p.as_py() == i.as_py())
+                side.append(s.as_py())
                 bags.append(shingles((t.as_py() or "").encode().split(), cache))
         if ids:
             yield links(ids, side, bags)
@@ -231,6 +204,49 @@ def _verified(rows: DataFrame, text: str, groups: DataFrame, reps: DataFrame, le
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _pieces() -> Column:
+    """Pieces of the rows of a group that fit in a task."""
+    return F.greatest(F.ceil(F.sum("w") / PIECE), F.ceil(F.count("*") / PIECE_DOCS)).cast("int")
+
+
+def _dealt(node: str, pieces: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.col(pieces)).cast("int")
+
+
+def _verified(rows: DataFrame, text: str, groups: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between documents of a group (node, root), each with its similarity checked, that
+    connect all which any pairs of the group do.
+
+    A group whose elements don't fit in a task is dealt into pieces by hash. First each piece is
+    compared within itself and with the group's first document, which joins the copies of a text
+    that was varied a little: work in proportion to the group. Then the documents outside the
+    group's largest class so far are compared with all its documents, piece by piece; pairs within
+    that class add nothing.
+    """
+    g = groups.union(groups.select("root", "root").distinct()).toDF("node", "root").distinct()
+    # Written: a join by the root of a very large group can then be split, and nothing is made twice.
+    g = written(g.join(reps.select(F.col("rep").alias("node"), "w"), "node"), "nodes")
+    total = written(g.groupBy("root").agg(_pieces().alias("pieces")), "totals")
+    g = written(g.join(total, "root").withColumn("p", _dealt("node", "pieces")), "placed")
+    whole, none = F.sequence(F.lit(0), F.col("pieces") - 1), F.lit(-1)
+    places = F.when(F.col("node") == F.col("root"), whole).otherwise(F.array("p"))
+    first = _links(rows, text, written(g.select("root", F.explode(places).alias("i"), none.alias("j"), F.lit(0).alias("side"), F.col("node").alias("rid")), "pieces"), least)
+    several = g.where("pieces > 1")
+    if several.isEmpty():
+        return first
+    first = written(first, "first-links")
+    classed = several.join(components(first).toDF("node", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    classed = written(classed, "classed")
+    sizes = classed.groupBy("root", "class").agg(F.count("*").alias("n"))
+    largest = written(sizes.groupBy("root").agg(F.max_by("class", F.struct("n", "class")).alias("largest")), "largest")
+    outside = written(classed.join(largest, "root").where("class != largest").select("root", "node", "w", "pieces"), "outside")
+    parts = written(outside.groupBy("root").agg(_pieces().alias("parts")), "parts")
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    all_rows = several.join(parts, "root").select("root", F.col("p").alias("i"), F.explode(every).alias("j"), F.lit(0).alias("side"), F.col("node").alias("rid"))
+    others = outside.join(parts, "root").select("root", F.explode(whole).alias("i"), _dealt("node", "parts").alias("j"), F.lit(1).alias("side"), F.col("node").alias("rid"))
+    return first.unionByName(_links(rows, text, written(all_rows.unionByName(others), "cross-pieces"), least))
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows with ids, as rows_with_id() gives them, and (rid, id, class_id, class_size, kept) of each.
 
@@ -245,8 +261,8 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", least:
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(F.expr("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS)), i))
     bands = reps.select("rep", F.explode(band).alias("key"))
     buckets = bands.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    near = bands.join(buckets, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct()
-    groups = components(_alike(near, reps, LOOK))
+    # All documents of a bucket are in one group, whether or not they resemble its first one.
+    groups = components(bands.join(buckets, "key").where("rep != a").select("a", F.col("rep").alias("b")).distinct())
     links = _verified(rows, text, groups, reps, least)
     final = components(links)
     members = rows.select("rid", F.col(f"row.{id_col}").alias("id")).join(signed.select("rid", "sha"), "rid", "left").join(reps.select("sha", "rep"), "sha", "left")
