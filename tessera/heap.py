@@ -18,6 +18,8 @@ from .operators import files as file_ops
 from .operators import versions
 from .sources.manifest import CommitConflict, DataFile, Manifest, State
 
+#: Files of which the table of commit numbers is broadcast; more are joined.
+BROADCAST = 100_000
 SCHEMA = "object_id bigint, is_delete boolean, payload binary, size bigint, crc bigint, commit_seq bigint"
 
 
@@ -47,13 +49,16 @@ class Snapshot:
         return self.spark.createDataFrame(rows, "file_id string, file_seq bigint, generation int, shard int, present_objects bigint, file_size bigint")
 
     def _scan(self, names: Iterable[str]) -> DataFrame:
-        paths = [f"{self.root}/data/{n}" for n in names]
-        raw = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        name = F.regexp_extract(F.input_file_name(), r"/data/(batch-[^/]+|rewrite-[^/]+/shard=[^/]+/file_no=[^/]+)/", 1) if paths else F.lit("")
-        tagged = raw.withColumn("file_id", name)
+        """All stored rows of some files, with file_id and commit_seq. Batches of one log share their Parquet files."""
+        names = list(names)
+        some = self.files if len(names) == len(self.state.files) else self.files.join(self.spark.createDataFrame([(n,) for n in names], "file_id string"), "file_id", "left_semi")
+        paths = sorted({f"{self.root}/data/{n.split('/')[0] if n.startswith('log-') else n}" for n in names})
+        raw = self.spark.read.schema(f"{SCHEMA}, batch_no bigint").parquet(*paths) if paths else self.spark.createDataFrame([], f"{SCHEMA}, batch_no bigint")
+        name = F.regexp_extract(F.input_file_name(), r"/data/(batch-[^/]+|log-[^/]+|rewrite-[^/]+/shard=[^/]+/file_no=[^/]+)/", 1) if paths else F.lit("")
+        tagged = raw.withColumn("file_id", F.coalesce(F.concat(name, F.lit("/batch_no="), F.col("batch_no").cast("string")), name)).drop("batch_no")
         # One row for each file, as many as the manifest lists.
-        seq = self.files.select("file_id", "file_seq")
-        return tagged.join(F.broadcast(seq), "file_id").withColumn("commit_seq", F.coalesce("commit_seq", "file_seq")).drop("file_seq")
+        seq = some.select("file_id", "file_seq")
+        return tagged.join(F.broadcast(seq) if len(names) <= BROADCAST else seq, "file_id").withColumn("commit_seq", F.coalesce("commit_seq", "file_seq")).drop("file_seq")
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -63,6 +68,11 @@ class Snapshot:
         """Newest version of each object: keys and ``columns``; payloads are read only if named."""
         return versions.current(self.entries.select("object_id", "commit_seq", "is_delete", *columns), "commit_seq")
 
+    def lookup(self, object_ids: Iterable[int]) -> DataFrame:
+        """(object_id, payload) of a few objects that exist; the ids reach the Parquet scan."""
+        some = self.entries.where(F.col("object_id").isin([to_bits(i) for i in object_ids])).select("object_id", "commit_seq", "is_delete", "payload")
+        return versions.read_all(versions.current(some, "commit_seq")).select("object_id", "payload")
+
     def read_all(self) -> DataFrame:
         return versions.read_all(self.current("payload")).select("object_id", "payload")
 
@@ -71,10 +81,8 @@ class Snapshot:
 
     def read(self, object_id: int) -> bytes | None:
         """One object; the id filter reaches the Parquet scan. None for unknown and deleted ids alike."""
-        bits = to_bits(object_id)
-        some = self.entries.where(F.col("object_id") == bits).select("object_id", "commit_seq", "is_delete", "payload")
-        row = versions.current(some, "commit_seq").first()
-        if row is None or row["is_delete"]:
+        row = self.lookup([object_id]).first()
+        if row is None:
             return None
         self.counters.bytes_read += len(row["payload"])
         return bytes(row["payload"])
@@ -82,6 +90,15 @@ class Snapshot:
     def liveness(self) -> DataFrame:
         return file_ops.liveness(self.files, self.current("file_id").select("file_id"), "file_id")
 
+    def candidates(self, config: HeapConfig) -> DataFrame:
+        """Files that are worth rewriting."""
+        return file_ops.candidates(self.liveness(), config, in_map=len(self.state.files))
+
+    def live_entries(self, names: Iterable[str]) -> DataFrame:
+        """Stored rows of some files that are the newest version of their object."""
+        key = ["object_id", "commit_seq"]
+        return self._scan(names).join(self.current().select(*key), key, "left_semi")
+
     def allocated_object_ids(self) -> DataFrame:
         """Ids that have a version, tombstones included."""
         return self.entries.select("object_id").distinct()
@@ -98,6 +115,17 @@ class Snapshot:
         """The next id, and ids up to the largest that no version has (0 in an empty heap)."""
         return self.next_object_id(), versions.free_ids(self.allocated_object_ids())
 
+    def broken_invariants(self) -> dict[str, int]:
+        """Counts of what must not be: versions of an object stored twice, live objects in files that the
+        manifest doesn't list, files whose number of objects isn't what it says, and objects whose checksum differs."""
+        e = self.entries
+        twice = e.groupBy("object_id", "commit_seq").count().where("count > 1").count()
+        lost = self.current("file_id").join(self.files, "file_id", "left_anti").count()
+        held = e.groupBy("file_id").agg(F.count("*").alias("n"))
+        differ = self.files.join(held, "file_id", "left").where(F.col("present_objects") != F.coalesce("n", F.lit(0))).count()
+        bad = e.where(~F.col("is_delete") & (F.col("crc") != record_checksum(F.col("object_id"), F.col("payload")))).count()
+        return {"stored_twice": twice, "without_file": lost, "wrong_counts": differ, "corrupt": bad}
+
     def verify(self) -> None:
         bad = self.entries.where(~F.col("is_delete") & (F.col("crc") != record_checksum(F.col("object_id"), F.col("payload")))).count()
         if bad:
@@ -136,41 +164,64 @@ class Heap:
             w = w.partitionBy(*by["columns"])
         w.parquet(f"{self.root}/data/{name}")
 
-    def write_batch(self, batch: DataFrame | Iterable[tuple[int, bytes | None]], txn: str | None = None) -> int | None:
+    def _stored(self, rows: DataFrame, seen: Observation, *by: str) -> DataFrame:
+        """The newest row of each object (of each batch, by) as it is stored; seen counts what came."""
+        size, gone = F.octet_length("payload"), F.col("payload").isNull()
+        rows = rows.observe(seen, F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("user"), F.coalesce(F.max(size), F.lit(0)).alias("largest"))
+        newest = rows.groupBy(*by, "object_id").agg(F.max_by(F.struct("payload"), "seq").alias("v")).select(*by, "object_id", F.col("v.payload").alias("payload"))
+        return newest.select(*by, "object_id", gone.alias("is_delete"), "payload", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), F.when(~gone, record_checksum(F.col("object_id"), F.col("payload"))).alias("crc"), F.lit(None).cast("bigint").alias("commit_seq"))
+
+    def _committed(self, name: str, made: list, file_ids: list[str], seen: Observation, txn: str | tuple[str, int] | None) -> int | None:
+        """Commit the described files of one write, or delete them if they hold nothing or too much."""
+        if not any(m["n"] for m in made):
+            self.manifest.delete([f"data/{name}"])
+            return None
+        got = seen.get
+        if got["largest"] > self.config.object_limit:
+            self.manifest.delete([f"data/{name}"])
+            raise ValueError(f"an object has {got['largest']} bytes; the limit is {self.config.object_limit}")
+        files = [DataFile(f, None, 0, 0, m["n"], m["room"] + TRAILER + ENTRY * m["n"], False) for f, m in zip(file_ids, made, strict=True)]
+        v = self.manifest.commit(files, max_object_id=max(to_unsigned(m["largest"]) for m in made), txn=txn)
+        if v is not None:
+            self.counters.bytes_written += sum(m["room"] for m in made)
+            self.counters.high_level_user_bytes_written += got["user"]
+        return v
+
+    def _done(self, txn: str | tuple[str, int] | None) -> bool:
+        name, number = (txn, 0) if isinstance(txn, str) else txn or ("", -1)
+        return number >= 0 and number <= self.manifest.state().txns.get(name, -1)
+
+    def write_batch(self, batch: DataFrame | Iterable[tuple[int, bytes | None]], txn: str | tuple[str, int] | None = None) -> int | None:
         """Commit a batch: rows (object_id, payload[, seq]), or pairs of id and payload; a null payload deletes.
 
         Of several rows of an object the one with the largest seq counts (pairs: the last). The
-        version, or None if the batch is empty or txn was committed before.
+        version, or None if the batch is empty or txn, a writer's name and number, was committed before.
         """
         if not isinstance(batch, DataFrame):
             rows = [(to_bits(i), None if p is None else bytearray(p), n) for n, (i, p) in enumerate(batch)]
             if not rows:
                 return None
             batch = self.spark.createDataFrame(rows, "object_id bigint, payload binary, seq bigint")
-        if txn is not None and txn in self.manifest.state().txns:
+        if self._done(txn):
             return None
         seq = F.col("seq") if "seq" in batch.columns else F.lit(0)
-        rows = batch.select(F.col("object_id").cast("bigint"), F.col("payload").cast("binary"), seq.cast("bigint").alias("seq"))
-        size, seen = F.octet_length("payload"), Observation()
-        rows = rows.observe(seen, F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("user"), F.coalesce(F.max(size), F.lit(0)).alias("largest"))
-        newest = rows.groupBy("object_id").agg(F.max_by(F.struct("payload"), "seq").alias("v")).select("object_id", F.col("v.payload").alias("payload"))
-        gone = F.col("payload").isNull()
-        out = newest.select("object_id", gone.alias("is_delete"), "payload", F.coalesce(size, F.lit(0)).cast("bigint").alias("size"), F.when(~gone, record_checksum(F.col("object_id"), F.col("payload"))).alias("crc"), F.lit(None).cast("bigint").alias("commit_seq"))
-        name = f"batch-{uuid.uuid4().hex}"
-        self._write(out, name)
-        got = seen.get
-        if got["largest"] > self.config.object_limit:
-            self.manifest.delete([f"data/{name}"])
-            raise ValueError(f"an object has {got['largest']} bytes; the limit is {self.config.object_limit}")
-        made = self._describe(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/data/{name}")).first()
-        if not made["n"]:
-            self.manifest.delete([f"data/{name}"])
+        seen, name = Observation(), f"batch-{uuid.uuid4().hex}"
+        self._write(self._stored(batch.select(F.col("object_id").cast("bigint"), F.col("payload").cast("binary"), seq.cast("bigint").alias("seq")), seen), name)
+        made = self._describe(self.spark.read.schema(SCHEMA).parquet(f"{self.root}/data/{name}")).collect()  # one row, or none
+        return self._committed(name, made, [name], seen, txn)
+
+    def write_log(self, log: DataFrame, txn: str | tuple[str, int] | None = None) -> int | None:
+        """Commit many batches at once: rows (batch_no, object_id, payload, seq). Each batch is a file of the
+        heap, and later ones, by batch_no, hide earlier ones. Readers see all of them or none. Small
+        batches share Parquet files, in the order of batches and ids."""
+        if self._done(txn):
             return None
-        v = self.manifest.commit([DataFile(name, None, 0, 0, made["n"], made["room"] + TRAILER + ENTRY * made["n"], False)], max_object_id=to_unsigned(made["largest"]), txn=txn)
-        if v is not None:
-            self.counters.bytes_written += made["room"]
-            self.counters.high_level_user_bytes_written += got["user"]
-        return v
+        seen, name = Observation(), f"log-{uuid.uuid4().hex}"
+        rows = log.select(F.col("batch_no").cast("bigint"), F.col("object_id").cast("bigint"), F.col("payload").cast("binary"), F.col("seq").cast("bigint"))
+        stored = self._stored(rows, seen, "batch_no").repartitionByRange("batch_no", "object_id").sortWithinPartitions("batch_no", "object_id")
+        self._write(stored.select(*[c.split()[0] for c in SCHEMA.split(", ")], "batch_no"), name)
+        made = self._describe(self.spark.read.schema(f"{SCHEMA}, batch_no bigint").parquet(f"{self.root}/data/{name}"), "batch_no").orderBy("batch_no").collect()  # one row for each file
+        return self._committed(name, made, [f"{name}/batch_no={m['batch_no']}" for m in made], seen, txn)
 
     @staticmethod
     def _describe(df: DataFrame, *by: str) -> DataFrame:
@@ -183,8 +234,7 @@ class Heap:
         rewrite took a file first, this one's work is dropped.
         """
         snap = self.snapshot()
-        live = snap.liveness()
-        found = file_ops.candidates(live, self.config, in_map=len(snap.state.files)).select("file_id", "target_generation").collect()  # of files, not of objects
+        found = snap.candidates(self.config).select("file_id", "target_generation").collect()  # of files, not of objects
         moved = 0
         for target in sorted({r["target_generation"] for r in found}):
             names = [r["file_id"] for r in found if r["target_generation"] == target]
@@ -195,7 +245,7 @@ class Heap:
 
     def _rewrite(self, snap: Snapshot, names: list[str], generation: int) -> int:
         key = ["object_id", "commit_seq"]
-        live = snap._scan(names).join(snap.current().select(*key), key, "left_semi")
+        live = snap.live_entries(names)
         shard = shard_of(F.col("object_id"), F.col("size"), F.col("is_delete"), self.config.partition_function)
         # Keys and sizes decide the files; payloads join them afterwards.
         placed = file_ops.assign_files(live.select(*key, "size", "is_delete", shard.alias("shard")), self.config.target_file_size, key).select(*key, "shard", "file_no")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import HeapConfig
 from ..functions.records import ENTRY, TRAILER, record_bytes
+from .ordered import last_up_to, sum_before
 
 
 def located(entries: DataFrame) -> DataFrame:
@@ -17,10 +18,10 @@ def located(entries: DataFrame) -> DataFrame:
 
 
 def catalog(entries: DataFrame) -> DataFrame:
-    """One row for each batch's file. The running sum of base_lsn is over these rows only."""
+    """One row for each batch's file; base_lsn is a running sum over these rows."""
     f = entries.groupBy("batch_no").agg(F.sum(record_bytes(F.col("size"), F.col("is_delete"))).alias("trailer_offset"), F.count("*").alias("present_objects"))
-    before = Window.partitionBy(F.lit(0)).orderBy("batch_no").rowsBetween(Window.unboundedPreceding, -1)
-    return f.select("*", (F.col("trailer_offset") + TRAILER + ENTRY * F.col("present_objects")).alias("file_size"), (F.coalesce(F.sum(F.col("trailer_offset") + 1).over(before), F.lit(0)) + 1).alias("base_lsn"))
+    f = f.select("*", (F.col("trailer_offset") + TRAILER + ENTRY * F.col("present_objects")).alias("file_size"), (F.col("trailer_offset") + 1).alias("room"))
+    return sum_before(f, ["batch_no"], "room", "before").select("batch_no", "trailer_offset", "present_objects", "file_size", (F.col("before") + 1).alias("base_lsn"))
 
 
 def with_lsn(entries: DataFrame) -> DataFrame:
@@ -65,21 +66,11 @@ def empty_files(files: DataFrame, latest: DataFrame, key: str = "batch_no") -> D
     return files.join(latest.select(key), key, "left_anti")
 
 
-def floor_lookup(probes: DataFrame, bases: DataFrame, probe: str = "lsn", base: str = "base_lsn", block: int = 65536) -> DataFrame:
-    """Each probe with the greatest base that isn't above it.
-
-    Both sides are dealt into blocks of the key's range. A block without a base below a probe
-    takes the last base of an earlier block, found from one row for each block.
-    """
-    b = bases.select(F.col(base).alias("k"), F.lit(0).alias("is_probe"), F.col(base).alias("b"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probes.columns])
-    p = probes.select(F.col(probe).alias("k"), F.lit(1).alias("is_probe"), F.lit(None).cast("long").alias("b"), *probes.columns)
-    both = b.union(p).withColumn("block", F.floor(F.col("k") / block).cast("long"))
-    inside = Window.partitionBy("block").orderBy("k", "is_probe")
-    both = both.withColumn("inner", F.last("b", True).over(inside))
-    heads = both.groupBy("block").agg(F.max("b").alias("top"))
-    earlier = Window.partitionBy(F.lit(0)).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("block", F.last("top", True).over(earlier).alias("carried"))
-    return both.where("is_probe = 1").join(heads, "block").select(*probes.columns, F.coalesce("inner", "carried").alias(base))
+def floor_lookup(probes: DataFrame, bases: DataFrame, probe: str = "lsn", base: str = "base_lsn") -> DataFrame:
+    """Each probe with the greatest base that isn't above it; both sides in one order of the key."""
+    b = bases.select(F.col(base).alias("__k"), F.lit(0).alias("__is_probe"), F.col(base).alias("__b"), *[F.lit(None).cast(probes.schema[c].dataType).alias(c) for c in probes.columns])
+    p = probes.select(F.col(probe).alias("__k"), F.lit(1).alias("__is_probe"), F.lit(None).cast(bases.schema[base].dataType).alias("__b"), *probes.columns)
+    return last_up_to(b.union(p), ["__k", "__is_probe"], "__b", base).where("__is_probe = 1").select(*probes.columns, base)
 
 
 def assign_files(objects: DataFrame, target: int, keep: list[str]) -> DataFrame:

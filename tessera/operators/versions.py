@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import order_key
+from .ordered import last_up_to
+
 
 def batch_dedup(op_log: DataFrame) -> DataFrame:
     """Of a batch's operations on an object the last (by seq) counts. Partial aggregation precedes the shuffle."""
@@ -36,21 +39,38 @@ def previous_values(entries: DataFrame, version: str = "batch_no") -> DataFrame:
     return entries.select("object_id", version, "payload", F.lag("payload").over(w).alias("previous"))
 
 
+def free_ranges(latest: DataFrame) -> DataFrame:
+    """(first, last), both included, of the unsigned ids from 0 to the largest that no version has.
+
+    Gaps are found between neighbours in the unsigned order. An empty heap has the gap 0 to 0.
+    """
+    ids = latest.select(order_key(F.col("object_id")).alias("at")).distinct()
+    if ids.isEmpty():
+        return latest.sparkSession.range(1).select(F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
+    # Sums are of order keys, where the last id has no successor, so that none overflows.
+    zero = order_key(F.lit(0).cast("long"))
+    first = F.when(F.col("before").isNull(), zero).otherwise(F.col("before") + 1)
+    gaps = last_up_to(ids, ["at"], "at", "before", before=True).where(F.col("at") > first)
+    return gaps.select(order_key(first).alias("first"), order_key(F.col("at") - 1).alias("last"))
+
+
 def free_ids(latest: DataFrame) -> DataFrame:
-    """Ids from 0 to the largest that no version has; 0 for an empty heap. Ids are found from the
-    gaps between neighbours, so work follows what is stored and what is free, not joins over ranges."""
-    bounds = latest.select(F.col("object_id").alias("id")).union(latest.sparkSession.range(1).select(F.lit(-1).cast("long")))
-    one = bounds.agg(F.max("id").alias("m"))
-    dealt = latest.select("object_id", F.floor(F.col("object_id") / 65536).cast("long").alias("block"))
-    inside = Window.partitionBy("block").orderBy("object_id")
-    gaps = dealt.select("block", F.coalesce(F.lag("object_id").over(inside) + 1, F.col("block") * 65536).alias("a"), (F.col("object_id") - 1).alias("b"))
-    tails = dealt.groupBy("block").agg((F.max("object_id") + 1).alias("a")).select("block", "a", (F.col("block") * 65536 + 65535).alias("b"))
-    seen = dealt.select("block").distinct()
-    blocks = one.select(F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.greatest("m", F.lit(0)) / 65536).cast("long"))).alias("block"))
-    empty = blocks.join(seen, "block", "left_anti").select("block", (F.col("block") * 65536).alias("a"), (F.col("block") * 65536 + 65535).alias("b"))
-    ranges = gaps.union(tails).union(empty).where("a <= b").crossJoin(F.broadcast(one)).select("a", F.least("b", F.greatest("m", F.lit(0))).alias("b")).where("a <= b")
-    return ranges.select(F.explode(F.sequence("a", "b")).alias("object_id"))
+    """The ids of free_ranges(), one by one, made of sixteen bits at a time. Blocks of 65,536 are dealt
+    to all tasks before their ids are made. Where ids are far apart, free_ranges() says the same in few rows."""
+    digit = lambda c, shift: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(0xFFFF))
+    out = free_ranges(latest).select("first", "last", F.lit(0).cast("long").alias("object_id"), F.lit(True).alias("at_first"), F.lit(True).alias("at_last"))
+    for shift in (48, 32, 16, 0):
+        low = F.when(F.col("at_first"), digit("first", shift)).otherwise(F.lit(0))
+        high = F.when(F.col("at_last"), digit("last", shift)).otherwise(F.lit(0xFFFF))
+        out = (out if shift else out.repartition("object_id")).select("*", F.explode(F.sequence(low, high)).alias("d"))
+        out = out.select(
+            "first", "last", F.col("object_id").bitwiseOR(F.shiftleft("d", shift)).alias("object_id"),
+            (F.col("at_first") & (F.col("d") == digit("first", shift))).alias("at_first"), (F.col("at_last") & (F.col("d") == digit("last", shift))).alias("at_last"),
+        )
+    return out.select("object_id")
 
 
 def next_object_id(latest: DataFrame) -> DataFrame:
-    return latest.agg((F.coalesce(F.max("object_id"), F.lit(0)) + 1).alias("next_object_id"))
+    """The id after the largest in the unsigned order, as bits; 1 for an empty heap, null if the largest id is taken."""
+    largest = F.max(order_key(F.col("object_id")))
+    return latest.agg(F.when(F.count("*") == 0, F.lit(1).cast("long")).otherwise(order_key(F.nullif(largest, F.lit((1 << 63) - 1)) + 1)).alias("next_object_id"))

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import HeapConfig
 from .functions import records, sharding
+from .heap import Heap
+from .kv import KeyValue, floor_pages
 from .operators import files, versions
-from .plans.workload import Workload
+from .operators.ordered import sum_before
+from .plans.workload import Workload, batch_of
+from .sources.staging import shared_dir
 
-TARGET = 65536
+TARGET, TEXT = 65536, "cast(payload AS string) AS payload"
 
 _SQL = """
 op_log AS (SELECT event_id // 100 AS batch_no, user_id AS object_id, event_id AS seq, event_type = 'error' AS is_delete,
@@ -64,20 +70,19 @@ def recovery_replay(w: Workload) -> DataFrame:
 
 @query("SELECT object_id, payload, size FROM latest WHERE NOT is_delete")
 def read_all_live(w: Workload) -> DataFrame:
-    return versions.read_all(w.current).select("object_id", "payload", "size")
+    return w.heap.snapshot().read_all().selectExpr("object_id", TEXT, "cast(octet_length(payload) AS bigint) AS size")
 
 
 @query("SELECT object_id, payload FROM latest WHERE NOT is_delete AND object_id = 7")
 def read_point(w: Workload) -> DataFrame:
-    """The id filter reaches the scan of the log."""
-    one = versions.current(versions.batch_dedup(w.log.where(F.col("object_id") == 7)))
-    return versions.read_all(one).select("object_id", "payload")
+    """The id filter reaches the scan of the heap's files."""
+    return w.heap.snapshot().lookup([7]).selectExpr("object_id", TEXT)
 
 
 @query("SELECT c_custkey AS object_id, payload FROM customer LEFT JOIN (SELECT object_id, payload FROM latest WHERE NOT is_delete) ON object_id = c_custkey")
 def read_many(w: Workload) -> DataFrame:
     ids = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet").select(F.col("c_custkey").alias("object_id"))
-    return versions.read_many(w.current, ids)
+    return w.heap.read_many(ids).selectExpr("object_id", TEXT)
 
 
 @query("SELECT batch_no, base_lsn, trailer_offset, present_objects, file_size FROM files")
@@ -87,7 +92,7 @@ def file_catalog(w: Workload) -> DataFrame:
 
 @query("SELECT batch_no, present_objects, file_size, live_objects, live_percent FROM live")
 def file_liveness(w: Workload) -> DataFrame:
-    return w.live_files.select("batch_no", "present_objects", "file_size", "live_objects", "live_percent")
+    return w.heap.snapshot().liveness().select(batch_of().alias("batch_no"), "present_objects", "file_size", "live_objects", "live_percent")
 
 
 _STATS = """t AS (SELECT sum(live_objects)::BIGINT AS live_objects, sum(present_objects)::BIGINT AS stored_objects, sum(file_size)::BIGINT AS total_file_size, count(*) AS files FROM live),
@@ -96,71 +101,73 @@ r AS (SELECT *, (live_objects::FLOAT / greatest(stored_objects, 1)::FLOAT)::FLOA
 
 @query(f"SELECT *, stored_objects - live_objects AS dead_objects, (total_file_size::FLOAT / (live_ratio * total_file_size::FLOAT)::FLOAT)::FLOAT AS space_amplification FROM r", _SQL + "," + _STATS)
 def heap_stats(w: Workload) -> DataFrame:
-    return files.stats(w.live_files)
+    return files.stats(w.heap.snapshot().liveness())
 
 
 @query("SELECT sum(room)::BIGINT AS bytes_written, (SELECT sum(size)::BIGINT FROM op_log) AS high_level_user_bytes_written, (sum(room)::FLOAT / (SELECT sum(size)::FLOAT FROM op_log))::FLOAT AS write_amplification FROM room")
 def amplification(w: Workload) -> DataFrame:
     """User bytes are counted before a batch's operations are merged."""
-    user = w.log.agg(F.sum("size").alias("high_level_user_bytes_written"))
-    written = w.entries.agg(F.sum(records.record_bytes(F.col("size"), F.col("is_delete"))).alias("bytes_written"))
-    return written.crossJoin(user).select("*", F.try_divide(F.col("bytes_written").cast("float"), F.col("high_level_user_bytes_written").cast("float")).cast("float").alias("write_amplification"))
+    return w.heap.stats().select("bytes_written", "high_level_user_bytes_written", "write_amplification")
 
 
 @query("SELECT batch_no, live_objects, live_percent, file_size, target_generation FROM candidates")
 def defrag_candidates(w: Workload) -> DataFrame:
-    return files.candidates(w.live_files, HeapConfig()).select("batch_no", "live_objects", "live_percent", "file_size", "target_generation")
+    return w.heap.snapshot().candidates(HeapConfig()).select(batch_of().alias("batch_no"), "live_objects", "live_percent", "file_size", "target_generation")
 
 
 @query("SELECT target_generation, count(*) AS files, sum(live_objects)::BIGINT AS live_objects FROM candidates GROUP BY 1 HAVING count(*) >= 2")
 def defrag_generation_groups(w: Workload) -> DataFrame:
-    return files.generation_groups(files.candidates(w.live_files, HeapConfig()), HeapConfig())
+    return files.generation_groups(w.heap.snapshot().candidates(HeapConfig()), HeapConfig())
 
 
 @query("SELECT e.object_id, e.batch_no, e.is_delete, e.size FROM entries e SEMI JOIN latest USING (object_id, batch_no) SEMI JOIN candidates USING (batch_no)")
 def gc_live_entries(w: Workload) -> DataFrame:
-    found = files.candidates(w.live_files, HeapConfig()).select("batch_no")
-    return w.entries.join(w.current.select("object_id", "batch_no"), ["object_id", "batch_no"], "left_semi").join(found, "batch_no", "left_semi").select("object_id", "batch_no", "is_delete", "size")
+    """What a rewrite of the candidates moves."""
+    snapshot = w.heap.snapshot()
+    names = [r["file_id"] for r in snapshot.candidates(HeapConfig()).select("file_id").collect()]  # of files, not of objects
+    return snapshot.live_entries(names).select("object_id", batch_of().alias("batch_no"), "is_delete", "size")
 
 
 @query("""SELECT r.object_id, r.batch_no AS read_batch, c.batch_no AS current_batch, r.batch_no = c.batch_no AS ok
   FROM (SELECT * FROM entries WHERE batch_no < (SELECT max(batch_no) FROM entries) QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY batch_no DESC) = 1) r JOIN latest c USING (object_id)""")
 def gc_cas_conflicts(w: Workload) -> DataFrame:
-    """What a rewrite read before the last batch, against what is current after it."""
-    last = w.entries.agg(F.max("batch_no").alias("last"))
-    read = versions.current(w.entries.join(F.broadcast(last), F.col("batch_no") < F.col("last"), "left_semi"))
-    return read.select("object_id", F.col("batch_no").alias("read_batch")).join(w.current.select("object_id", F.col("batch_no").alias("current_batch")), "object_id").withColumn("ok", F.col("read_batch") == F.col("current_batch"))
+    """What a rewrite read in the version before the last batch, against what is current after it."""
+    now = w.heap.snapshot()
+    version = lambda s, name: s.current("file_id").select("object_id", batch_of().alias(name))
+    read = version(w.heap.snapshot(now.state.version - 1), "read_batch")
+    return read.join(version(now, "current_batch"), "object_id").withColumn("ok", F.col("read_batch") == F.col("current_batch"))
 
 
 @query("SELECT batch_no, file_size FROM live WHERE live_objects = 0")
 def empty_files(w: Workload) -> DataFrame:
-    return files.empty_files(w.files, w.current).select("batch_no", "file_size")
+    return w.heap.snapshot().liveness().where("live_objects = 0").select(batch_of().alias("batch_no"), "file_size")
 
 
 @query("SELECT r.range AS object_id FROM range(0, (SELECT max(object_id) + 1 FROM entries)) r ANTI JOIN entries e ON e.object_id = r.range")
 def free_ids(w: Workload) -> DataFrame:
-    return versions.free_ids(w.log.select("object_id").distinct())
+    return w.heap.snapshot().free_object_ids()[1]
 
 
 @query("SELECT DISTINCT object_id FROM entries WHERE batch_no = 0")
 def allocated_ids(w: Workload) -> DataFrame:
-    return w.log.where(F.col("batch_no") == 0).select("object_id").distinct()
+    """In the heap's first version, the first batch."""
+    return w.heap.snapshot(0).allocated_object_ids()
 
 
 @query("SELECT DISTINCT object_id FROM entries")
 def allocated_ids_whole_log(w: Workload) -> DataFrame:
     """allocated_ids is the case of the first batch."""
-    return w.log.select("object_id").distinct()
+    return w.heap.snapshot().allocated_object_ids()
 
 
 @query("SELECT r.range AS object_id FROM range(0, (SELECT max(object_id) + 1 FROM entries WHERE batch_no = 0)) r ANTI JOIN (FROM entries WHERE batch_no = 0) e ON e.object_id = r.range")
 def free_ids_first_batch(w: Workload) -> DataFrame:
-    return versions.free_ids(w.log.where(F.col("batch_no") == 0).select("object_id").distinct())
+    return w.heap.snapshot(0).free_object_ids()[1]
 
 
 @query("SELECT max(object_id) + 1 AS next_object_id FROM entries")
 def next_object_id(w: Workload) -> DataFrame:
-    return versions.next_object_id(w.log)
+    return versions.next_object_id(w.heap.snapshot().allocated_object_ids())
 
 
 @query("SELECT l.object_id, l.lsn, f.base_lsn FROM (SELECT * FROM located WHERE NOT is_delete) l ASOF JOIN files f ON l.lsn >= f.base_lsn")
@@ -197,23 +204,25 @@ def shard_split(w: Workload) -> DataFrame:
 
 @query()
 def record_checksum(w: Workload) -> DataFrame:
-    return w.entries.where(~F.col("is_delete")).select("object_id", "batch_no", records.record_checksum(F.col("object_id"), F.col("payload")).alias("crc"))
+    """As stored beside the payloads."""
+    return w.heap.snapshot().entries.where(~F.col("is_delete")).select("object_id", batch_of().alias("batch_no"), "crc")
 
 
 @query("SELECT c_name AS key, lo FROM customer ASOF JOIN (SELECT c_name AS lo FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT '') p ON c_name >= lo", "")
 def kv_page_lookup(w: Workload) -> DataFrame:
-    """Each key's page: the greatest lower bound that isn't above it. Bounds are few; they are one sorted array."""
+    """Each key's page: the greatest lower bound that isn't above it."""
     c = w.spark.read.parquet(f"{w.sf_dir}/customer.parquet")
     pages = c.where(F.col("c_custkey") % 100 == 0).select(F.col("c_name").alias("lo")).union(w.spark.range(1).select(F.lit("")))
-    from .kv import floor_pages
-
     return floor_pages(c.select(F.col("c_name").alias("key")), pages)
 
 
 @query("SELECT object_id AS key, payload AS value FROM latest WHERE object_id IN (1, 2, 3)")
 def kv_get(w: Workload) -> DataFrame:
-    some = versions.current(versions.batch_dedup(w.log.where(F.col("object_id").isin(1, 2, 3))))
-    return some.select(F.col("object_id").alias("key"), F.col("payload").alias("value"))
+    """The log under keys of text in the key-value layer, and three keys of it."""
+    kv = KeyValue(Heap.open(w.spark, f"{shared_dir(w.spark)}/kv-{uuid.uuid4().hex}"))
+    kv.put_log(w.log.select("batch_no", F.col("object_id").cast("string").alias("key"), F.col("payload").alias("value"), "seq"))
+    some = kv.get_many(w.spark.createDataFrame([("1",), ("2",), ("3",)], "key string"))
+    return some.select(F.col("key").cast("string").cast("long").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 @query("SELECT object_id, batch_no, payload, lag(payload) OVER (PARTITION BY object_id ORDER BY batch_no) AS previous FROM entries")
@@ -224,35 +233,33 @@ def kv_mutate_previous(w: Workload) -> DataFrame:
 @query("""SELECT (SELECT count(*) FROM (SELECT 1 FROM entries GROUP BY object_id, batch_no HAVING count(*) > 1)) AS added_twice,
   (SELECT count(*) FROM latest ANTI JOIN entries USING (object_id, batch_no)) AS never_added, (SELECT count(*) FROM latest ANTI JOIN files USING (batch_no)) AS without_file""")
 def history_invariants(w: Workload) -> DataFrame:
-    """Counts of broken invariants; all 0."""
-    twice = w.entries.groupBy("object_id", "batch_no").count().where("count > 1").agg(F.count("*").alias("added_twice"))
-    never = w.current.join(w.entries, ["object_id", "batch_no"], "left_anti").agg(F.count("*").alias("never_added"))
-    lost = w.current.join(w.files, "batch_no", "left_anti").agg(F.count("*").alias("without_file"))
-    return twice.crossJoin(never).crossJoin(lost)
+    """Counts of broken invariants in the compacted heap: versions stored twice, versions that the log never had, objects without a file."""
+    snapshot = w.compacted.snapshot()
+    broken = snapshot.broken_invariants()
+    # A version is a batch's number in order; the log's entries say which there are.
+    order = sum_before(w.entries.select("batch_no", F.lit(1).cast("long").alias("one")).distinct(), ["batch_no"], "one", "commit_seq")
+    never = snapshot.current().join(w.entries.join(order, "batch_no"), ["object_id", "commit_seq"], "left_anti").agg(F.count("*").alias("never_added"))
+    return never.select(F.lit(broken["stored_twice"]).cast("long").alias("added_twice"), "never_added", F.lit(broken["without_file"]).cast("long").alias("without_file"))
 
 
 @query("SELECT count(*) AS objects_in_empty_files FROM latest SEMI JOIN (FROM live WHERE live_objects = 0) USING (batch_no)")
 def uninhabited_files(w: Workload) -> DataFrame:
-    return w.current.join(files.empty_files(w.files, w.current), "batch_no", "left_semi").agg(F.count("*").alias("objects_in_empty_files"))
+    """Objects of the compacted heap whose newest version lies in a file that counts as empty."""
+    snapshot = w.compacted.snapshot()
+    return snapshot.current("file_id").join(snapshot.liveness().where("live_objects = 0"), "file_id", "left_semi").agg(F.count("*").alias("objects_in_empty_files"))
 
 
 @query("""SELECT 1 AS files, count(*) AS live_objects, count(*) AS stored_objects, (sum(CASE WHEN is_delete THEN 0 ELSE size + 20 END) + 12 + 16 * count(*))::BIGINT AS total_file_size
   FROM latest""")
 def post_compaction_stats(w: Workload) -> DataFrame:
-    """All live objects are under the target size and in one file after a rewrite with a threshold of one file."""
-    live = w.current.withColumn("shard", F.lit(0).cast("smallint"))
-    split = files.assign_files(live.select("object_id", "size", "is_delete", "shard"), 1 << 28, ["object_id"]).withColumn("batch_no", F.col("file_no").cast("long"))
-    made = files.catalog(split)
-    return made.agg(F.count("*").cast("int").alias("files"), F.sum("present_objects").alias("live_objects"), F.sum("present_objects").alias("stored_objects"), F.sum("file_size").alias("total_file_size"))
+    """All live objects are under the target size and in one file after maintenance with a threshold of one file."""
+    return w.compacted.stats().select(F.col("files").cast("int").alias("files"), "live_objects", "stored_objects", "total_file_size")
 
 
 @query("SELECT object_id, payload FROM latest WHERE NOT is_delete")
 def post_compaction_reads(w: Workload) -> DataFrame:
-    """Reads through candidates rewritten with their original versions, and the other files."""
-    found = files.candidates(w.live_files, HeapConfig()).select("batch_no")
-    rewritten = w.entries.join(found, "batch_no", "left_semi").join(w.current.select("object_id", "batch_no"), ["object_id", "batch_no"], "left_semi")
-    rest = w.entries.join(found, "batch_no", "left_anti")
-    return versions.read_all(versions.current(rest.unionByName(rewritten))).select("object_id", "payload")
+    """Reads of the heap after maintenance, which keeps the original versions of what it rewrites."""
+    return w.compacted.snapshot().read_all().selectExpr("object_id", TEXT)
 
 
 @query("SELECT object_id, CAST(payload AS VARCHAR) AS payload FROM latest WHERE NOT is_delete")

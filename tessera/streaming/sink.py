@@ -3,33 +3,27 @@ so that a micro-batch that runs again after a failure commits nothing twice."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..heap import Heap
+from ..sources.staging import shared_dir
 
 
 def heap_sink(heap: Heap, name: str):
     """For writeStream.foreachBatch: rows (object_id, payload[, seq])."""
 
     def write(batch: DataFrame, number: int) -> None:
-        heap.write_batch(batch, txn=f"{name}-{number}")
+        heap.write_batch(batch, txn=(name, number))
 
     return write
 
 
 def ingest_events(spark: SparkSession, sf_dir: str) -> Heap:
     """All of the events table, as a stream of files, into a new heap in the shared folder."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    root = f"{base.rstrip('/')}/heap-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/heap-{uuid.uuid4().hex}"
     heap = Heap.open(spark, f"{root}/heap")
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
