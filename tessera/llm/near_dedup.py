@@ -26,7 +26,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Bands of ROWS components each: a pair of similarity 0.8 shares none with probability 3e-6.
 BANDS, ROWS = 42, 6
 #: Elements and documents of one task's piece of a group, and rows up to which ids are broadcast.
-PIECE, PIECE_DOCS, BROADCAST = 1_000_000, 1024, 1_000_000
+PIECE, PIECE_DOCS, BROADCAST = 1_000_000, 256, 1_000_000
 
 U = np.uint64
 
