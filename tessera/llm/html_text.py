@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import small_enough, written
 from .url_filter import parts
 
-#: Contents of most pages, broadcast before the join, and kinds of parts up to which they are.
-HEAD, KINDS = 256, 100_000
+#: Contents of most pages, broadcast before the join; rows up to which other tables are broadcast, and their lines in all.
+HEAD, KINDS, LINES = 256, 100_000, 10_000_000
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -253,7 +253,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_co
     kind = base.schema["page_id"].dataType.simpleString()
     # Of a content, host and lines with their places: 128 bits.
     content = F.substring(F.sha2(F.concat_ws("\n", "host", F.array_join(F.col("hashes").cast("array<string>"), " "), F.array_join(F.col("inside").cast("array<string>"), " ")), 256), 1, 32)
-    parsed = written(_parsed(base, "html", {"page_id": kind, "url": "string", "host": "string", "path": "string"}, marks).withColumn("key", content), "pages")
+    # Read twice, before and after the comparison: to write all texts in between costs more disk than pages take.
+    parsed = _parsed(base, "html", {"page_id": kind, "url": "string", "host": "string", "path": "string"}, marks).withColumn("key", content)
     near = neighbours(parsed.where(F.size("hashes") > 0).select("host", "path", "url", "page_id", "key", "hashes", "inside", "kinds"))
 
     def difference(batches):
@@ -285,8 +286,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html_co
     head = found.where("n_pages > 1").orderBy(F.desc("n_pages"), "key").limit(HEAD).select("key", F.col("gone").alias("hot"))
     rest = found.where(F.array_contains("gone", True)).join(F.broadcast(head.select("key")), "key", "left_anti").select("key", "gone")
     page = parsed.select("page_id", "url", "lines", "key").join(F.broadcast(head), "key", "left")
-    # These pages and empty ones have no partner in rest; their keys are salted, so that they don't meet in one task.
-    page = page.withColumn("key", F.when(F.col("hot").isNull() & (F.size("lines") > 0), F.col("key")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    many = rest.agg(F.count("*").alias("n"), F.sum(F.size("gone")).alias("lines")).first()
+    if many["n"] <= KINDS and (many["lines"] or 0) <= LINES:
+        rest = F.broadcast(rest)
+    else:
+        # These pages and empty ones have no partner in rest; their keys are salted, so that they don't meet in one task.
+        page = page.withColumn("key", F.when(F.col("hot").isNull() & (F.size("lines") > 0), F.col("key")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))))
+    # A content that is in head isn't in rest.
     page = page.join(rest, "key", "left").withColumn("gone", F.coalesce("hot", "gone"))
     text = F.array_join(F.filter("lines", lambda x, k: ~F.coalesce(F.get("gone", k), F.lit(False))), "\n")
     return page.select("page_id", "url", text.alias("text")).select("*", F.length("text").cast("long").alias("n_chars"))
