@@ -8,11 +8,15 @@ that begin at anchors need sorting, about one in sixteen.
 1. Chunks of documents exchange Golomb-coded hashes of their anchors' substrings and learn
    which occur in another document.
 2. The suffixes at those anchors, cut after the last string they serve, are sorted in each
-   chunk, equal ones with equal contexts merged to the smallest id, and sent front-coded.
+   chunk, equal ones with equal contexts merged to the smallest id. Splitters, quantiles of
+   a sample of anchors, cut each chunk's order into runs, which are sent front-coded: owners
+   hold consecutive ranges of one order over all chunks.
 3. Owners combine the sorted runs in a loser tree that keeps each run's common prefix with
    the last suffix put out and never compares those bytes again. Suffixes that share the
    anchor's substring are neighbours then, and their strings are matched.
-4. Chunks get a bit for each string of each suffix, and cut their documents.
+4. An anchor's substring that fills ranges of its own is too frequent for one owner. Its
+   strings are grouped by all their bytes instead, each sent once by a chunk.
+5. Chunks learn which strings of each suffix have a smaller id, and cut their documents.
 """
 
 from __future__ import annotations
@@ -22,15 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordered import sum_before
 from . import golomb
+from .common import written
 
 LENGTH, GRAM = 50, 20
 #: Bytes of a chunk, and hashes of an owner in the first exchange.
 CHUNK, PER_OWNER = 4_000_000, 500_000
+#: Bytes for each string sampled for the splitters, and the most ranges: their splitters, GRAM bytes
+#: each, go to every task (20 MB at most, reached at 4 TB; beyond that ranges grow with the input).
+SAMPLE, MOST_RANGES = 8192, 1 << 20
 POSITION_BITS, TILE = 28, 1 << 15
 U = np.uint64
 
@@ -90,9 +98,9 @@ class Chunk:
 
     def __init__(self, group: pa.Table):
         texts = [t or b"" for t in group.column("t").to_pylist()]
-        ids = group.column("id").to_pylist()
+        ids, copies = group.column("id").to_pylist(), group.column("copies").to_pylist()
         order = sorted(range(len(ids)), key=lambda k: (ids[k] is None, ids[k] if ids[k] is not None else 0, texts[k]))
-        self.ids, self.texts = [ids[k] for k in order], [texts[k] for k in order]
+        self.ids, self.texts, self.copies = [ids[k] for k in order], [texts[k] for k in order], [copies[k] for k in order]
         self.order = np.array([(1 << 63) - 1 if i is None else i for i in self.ids], np.int64)  # null ids are the largest
         self.raw = b"".join(self.texts)
         size = np.array([len(t) for t in self.texts], np.int64)
@@ -115,6 +123,18 @@ class Chunk:
             best.setdefault(key, k)  # documents stand in the order of their ids
         return best, np.array([best[k] for k in keys], np.int64)
 
+    def strings(self, best: dict[tuple[bytes, bytes], int], frequent: set[bytes]) -> dict[bytes, int]:
+        """The strings of those records whose anchor's substring is frequent, with their smallest order."""
+        least: dict[bytes, int] = {}
+        for (suffix, left), k in best.items():
+            if suffix[:GRAM] in frequent:
+                whole, order = left + suffix, int(self.order[self.doc[k]])
+                for q in range(len(whole) - LENGTH + 1):
+                    s = whole[q : q + LENGTH]
+                    if least.setdefault(s, order) > order:
+                        least[s] = order
+        return least
+
 
 def front_coded(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
     """Sorted (suffix, left, order, number), each suffix without the prefix it shares with the one before."""
@@ -219,18 +239,46 @@ def matched(group: list[tuple[int, bytes, bytes, int, int]]) -> Iterator[tuple[i
             yield sender, number, bits
 
 
+def splitters(rows: DataFrame, ranges: int) -> tuple[np.ndarray, set[bytes]]:
+    """Anchors' substrings that cut their order into about equal ranges, and those of them that fill
+    two ranges or more alone. rows: (sender, t). One string in SAMPLE bytes is looked at, a string of
+    one sender once, so that copies, which a chunk merges, don't count. Only balance depends on them.
+    """
+    last, first = F.octet_length("t") - LENGTH, F.pmod(F.xxhash64("t"), F.lit(SAMPLE)).cast("int")
+    at = F.when(first <= last, F.sequence(first, last, F.lit(SAMPLE)))
+    windows = rows.select("sender", "t", F.explode(at).alias("p")).select("sender", F.col("t").substr(F.col("p") + 1, F.lit(LENGTH)).alias("w")).distinct()
+
+    def substrings(batches):
+        for b in batches:
+            raw = b"".join(b.column("w").to_pylist())
+            start = np.arange(0, len(raw), LENGTH)
+            at, *_ = anchors(np.frombuffer(raw, np.uint8), start, start + LENGTH)
+            yield pa.RecordBatch.from_pydict({"gram": pa.array([raw[a : a + GRAM] for a in at.tolist()], pa.binary())})
+
+    counted = sum_before(windows.select("w").mapInArrow(substrings, "gram binary").groupBy("gram").agg(F.count("*").alias("n")), ["gram"], "n", "before")
+    total = counted.agg(F.sum("n").alias("n")).first()["n"] or 1
+    filled = F.expr(f"((before + n) * {ranges}) div {total} - (before * {ranges}) div {total}")
+    cuts = sorted((bytes(r["gram"]), r["k"]) for r in counted.select("gram", filled.alias("k")).where("k > 0").collect())  # at most one for each range
+    return np.array([g for g, _ in cuts], f"S{GRAM}"), {g for g, k in cuts if k > 1}
+
+
 def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text: bool = True) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
 
     kept: the bytes that remain, as binary (a cut may split a character). Null counts as empty.
     Null ids count as larger than all others; rows with the same id take nothing from each other.
-    Texts under LENGTH bytes keep all. What is removed is judged on the input as it was.
+    Texts under LENGTH bytes keep all. What is removed is judged on the input as it was. Ids are
+    integers. Other columns are not read.
     """
-    total = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary"))).alias("n")).first()["n"] or 0
+    size, no_id = F.octet_length(F.col(text).cast("binary")), F.count(F.when(F.col(id_col).isNull(), 1))
+    total, nulls = docs.agg(F.coalesce(F.sum(size), F.lit(0)), no_id).first()
     chunks, owners = max(1, -(-total // CHUNK)), max(1, -(-total // 16 // PER_OWNER))
-    run_owners = max(1, -(-chunks // 4))
-    t = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    base = docs.select(F.col(id_col).cast("long").alias("id"), t.alias("t"), F.pmod(F.xxhash64(F.col(id_col), t), F.lit(chunks)).alias("sender"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"), F.lit(1).cast("long").alias("copies"))
+    if nulls:
+        # Nothing tells copies without an id apart: they would all be in one chunk. They get one row.
+        rows = rows.where("id is not null").union(rows.where("id is null").groupBy("id", "t").agg(F.count("*").alias("copies")))
+    base = rows.withColumn("sender", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)))
+    splits, frequent = splitters(base, min(chunks, MOST_RANGES)) if chunks > 1 else (np.empty(0, f"S{GRAM}"), set())
 
     def send(key, group):
         c = Chunk(group)
@@ -245,10 +293,11 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
         c = Chunk(group)
         some = c.shared(owners, dict(zip(bits.column("owner").to_pylist(), bits.column("bitmap").to_pylist(), strict=True)))
         best, _ = c.records(some)
-        by_owner: dict[int, list] = {}
-        for (suffix, left), k in best.items():
-            by_owner.setdefault(int(c.hash[k]) % run_owners, []).append((suffix, left, int(c.order[c.doc[k]]), k))
-        return pa.table({"sender": pa.array([key[0].as_py()] * len(by_owner), pa.int64()), "owner": pa.array(list(by_owner), pa.int32()), "run": pa.array([front_coded(sorted(r)) for r in by_owner.values()], pa.binary())})
+        run = sorted((suffix, left, int(c.order[c.doc[k]]), k) for (suffix, left), k in best.items() if suffix[:GRAM] not in frequent)
+        owner = np.searchsorted(splits, np.array([r[0][:GRAM] for r in run], splits.dtype), side="right")
+        to, start = np.unique(owner, return_index=True)
+        end = np.r_[start[1:], len(run)]
+        return pa.table({"sender": pa.array([key[0].as_py()] * len(to), pa.int64()), "owner": pa.array(to, pa.int32()), "run": pa.array([front_coded(run[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=False)], pa.binary())})
 
     sent = base.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(runs, "sender long, owner int, run binary")
 
@@ -265,18 +314,37 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
 
     replies = sent.groupBy("owner").applyInArrow(merge, "sender long, number int, bits long")
     null = lambda kind: F.lit(None).cast(kind)
-    known = bitmaps.select("sender", "owner", "bitmap", null("int").alias("number"), null("long").alias("bits")).union(replies.select("sender", null("int"), null("binary"), "number", "bits"))
+    known = bitmaps.select("sender", "owner", "bitmap", null("int").alias("number"), null("long").alias("bits"), null("binary").alias("string"))
+    known = known.union(replies.select("sender", null("int"), null("binary"), "number", "bits", null("binary")))
+    if frequent:
+
+        def strings(key, group, bits):
+            c = Chunk(group)
+            some = c.shared(owners, dict(zip(bits.column("owner").to_pylist(), bits.column("bitmap").to_pylist(), strict=True)))
+            least = c.strings(c.records(some)[0], frequent)
+            return pa.table({"sender": pa.array([key[0].as_py()] * len(least), pa.int64()), "string": pa.array(list(least), pa.binary()), "least": pa.array(list(least.values()), pa.int64())})
+
+        own = written(base.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(strings, "sender long, string binary, least long"), "strings")
+        first = own.groupBy("string").agg(F.min("least").alias("first"), F.count("*").alias("n")).where("n > 1")
+        known = known.union(own.join(first, "string").where("first < least").select("sender", null("int"), null("binary"), null("int"), F.col("first"), "string"))
 
     def apply(key, group, known):
         c = Chunk(group)
         is_reply = known.column("number").is_valid()
-        sent_back = known.filter(pc.invert(is_reply))
+        sent_back = known.filter(known.column("bitmap").is_valid())
         bitmaps = dict(zip(sent_back.column("owner").to_pylist(), sent_back.column("bitmap").to_pylist(), strict=True))
         got = known.filter(is_reply)
         bits = np.zeros(len(c.at) + 1, np.int64)
         bits[got.column("number").to_numpy()] = got.column("bits").to_numpy()
         some = c.shared(owners, bitmaps)
-        _, best = c.records(some)
+        distinct, best = c.records(some)
+        if frequent:
+            least, told = c.strings(distinct, frequent), known.filter(known.column("string").is_valid())
+            least.update(zip(told.column("string").to_pylist(), told.column("bits").to_pylist(), strict=True))
+            for (suffix, left), k in distinct.items():
+                if suffix[:GRAM] in frequent:
+                    whole = left + suffix
+                    bits[k] = sum(1 << q for q in range(len(whole) - LENGTH + 1) if least[whole[q : q + LENGTH]] < c.order[c.doc[k]])
         gone = [np.empty(0, np.int64)]
         if len(some):
             # What the smallest id of this chunk has, larger ids lose; the rest is as the owner says.
@@ -288,12 +356,15 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
         size = len(c.raw) + 1
         removed = np.cumsum(np.bincount(gone, minlength=size) - np.bincount(gone + LENGTH, minlength=size)[:size])[:-1] > 0
         data, rows = np.frombuffer(c.raw, np.uint8), []
-        for i, s, e in zip(c.ids, c.start.tolist(), c.end.tolist(), strict=True):
+        for i, s, e, copies in zip(c.ids, c.start.tolist(), c.end.tolist(), c.copies, strict=True):
             r = removed[s:e]
             kept = data[s:e][~r].tobytes()
-            rows.append((i, e - s, int(r.sum()), int(np.count_nonzero(r[1:] & ~r[:-1]) + (len(r) > 0 and r[0])), hashlib.sha256(kept).hexdigest(), kept))
-        cols = {"doc_id": pa.array([r[0] for r in rows], pa.int64())} | {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in ((1, "n_bytes"), (2, "n_removed"), (3, "n_spans"))} | {"kept_sha256": pa.array([r[4] for r in rows], pa.string())}
-        return pa.table(cols | ({"kept": pa.array([r[5] for r in rows], pa.binary())} if keep_text else {}))
-
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return base.groupBy("sender").cogroup(known.groupBy("sender")).applyInArrow(apply, schema)
+            rows.append((i, e - s, int(r.sum()), int(np.count_nonzero(r[1:] & ~r[:-1]) + (len(r) > 0 and r[0])), hashlib.sha256(kept).hexdigest(), copies, kept))
+        cols = {"doc_id": pa.array([r[0] for r in rows], pa.int64())} | {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in ((1, "n_bytes"), (2, "n_removed"), (3, "n_spans"))} | {"kept_sha256": pa.array([r[4] for r in rows], pa.string()), "copies": pa.array([r[5] for r in rows], pa.int64())}
+        return pa.table(cols | ({"kept": pa.array([r[6] for r in rows], pa.binary())} if keep_text else {}))
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, copies long" + (", kept binary" if keep_text else "")
+    out = base.groupBy("sender").cogroup(known.groupBy("sender")).applyInArrow(apply, schema)
+    if nulls:
+        out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return out.drop("copies")

@@ -171,6 +171,21 @@ def test_suffix_dedup(spark, odd_docs, no_docs, monkeypatch, chunk):
     assert suffix_dedup.cut(no_docs).count() == 0
 
 
+def test_suffix_dedup_splits_frequent_anchors(spark, monkeypatch):
+    """A short passage in many surroundings fills ranges of its own; its strings are grouped by their bytes."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    monkeypatch.setattr(suffix_dedup, "SAMPLE", 16)
+    rng, seen, real = np.random.default_rng(5), [], suffix_dedup.splitters
+    monkeypatch.setattr(suffix_dedup, "splitters", lambda *a: seen.append(real(*a)) or seen[-1])
+    near = ["".join(map(chr, rng.integers(97, 123, 18))) for _ in range(40)]
+    rows = [(k if k % 50 else None, f"{near[rng.integers(40)]}the same words stand here{near[rng.integers(40)]}") for k in range(400)]
+    rows += [(None, rows[7][1])] * 30 + [(3, rows[9][1])] * 2
+    got = sorted(map(tuple, suffix_dedup.cut(spark.createDataFrame(rows, "doc_id long, text string"), keep_text=False).collect()), key=str)
+    assert got == passages_by_hand(rows)
+    (splits, frequent), = seen
+    assert frequent and list(splits) == sorted(splits)
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = np.random.default_rng(2)
     runs = [sorted((bytes(rng.integers(97, 100, 8).tolist()), b"", k, n) for n in range(int(rng.integers(0, 40)))) for k in range(5)]
