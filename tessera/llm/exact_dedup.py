@@ -7,6 +7,8 @@ compared byte by byte.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,8 +17,12 @@ from pyspark.sql import functions as F
 from . import golomb
 from .common import SPACE, rows_with_id, small_enough, written
 
-#: Rows of a sender, fingerprints of an owner, and suspects up to which their ids are broadcast (8 bytes each).
-SENDER_BITS, PER_OWNER, BROADCAST = 13, 500_000, 1_000_000
+#: Rows of a sender and fingerprints of an owner, times the square root of all rows: a parcel from one to
+#: the other then holds about PER_SENDER * PER_OWNER fingerprints at every size, so that coding pays.
+#: With 10^10 rows a sender has 1.6 and an owner 4 million. Senders are dealt blocks of 2^BLOCK_BITS row ids.
+PER_SENDER, PER_OWNER, BLOCK_BITS = 16, 40, 10
+#: Suspects up to which their ids are broadcast (8 bytes each).
+BROADCAST = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -26,8 +32,9 @@ def normalised(text: Column) -> Column:
 
 def suspects(prints: DataFrame, rows: int) -> DataFrame:
     """(rid) of the rows of prints (rid, fp) whose fingerprint stands in another row too."""
-    owners = max(1, -(-rows // PER_OWNER))
-    sender = F.shiftright("rid", SENDER_BITS)
+    root = math.isqrt(rows)
+    senders, owners = max(1, root // PER_SENDER), max(1, root // PER_OWNER)
+    sender = F.pmod(F.xxhash64(F.shiftright("rid", BLOCK_BITS)), F.lit(senders).cast("long"))
 
     def send(key, group):
         got = golomb.parcels(group.column("fp").to_numpy(), owners)

@@ -90,8 +90,3 @@ def flags(fingerprints: np.ndarray, owners: int, bitmaps: dict[int, bytes]) -> n
         at = np.flatnonzero(owner == o)
         bit[at] = np.unpackbits(np.frombuffer(bitmaps[int(o)], np.uint8))[: len(at)].astype(bool)
     return bit[back]
-
-
-def collected(bitmaps: DataFrame) -> DataFrame:
-    """(sender, bitmaps): all owners' answers to a sender in one row."""
-    return bitmaps.groupBy("sender").agg(F.collect_list(F.struct("owner", "bitmap")).alias("bitmaps"))

@@ -171,6 +171,18 @@ def test_suffix_dedup(spark, odd_docs, no_docs, monkeypatch, chunk):
     assert suffix_dedup.cut(no_docs).count() == 0
 
 
+def test_suspects_between_many_senders_and_owners(spark, monkeypatch):
+    """Fingerprints that occur again are found wherever their rows are, and no others."""
+    for name, value in (("PER_SENDER", 1), ("PER_OWNER", 1), ("BLOCK_BITS", 0)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    rng = np.random.default_rng(4)
+    prints = [(k, int(v) << 38) for k, v in enumerate(rng.integers(0, 1000, 600))]
+    prints += [(1000 + k, v) for k, v in enumerate(rng.integers(0, 1 << golomb.BITS, 300).tolist())]
+    count = Counter(v for _, v in prints)
+    got = exact_dedup.suspects(spark.createDataFrame(prints, "rid long, fp long"), len(prints)).collect()
+    assert sorted(r["rid"] for r in got) == [k for k, v in prints if count[v] > 1]
+
+
 def test_suffix_dedup_splits_frequent_anchors(spark, monkeypatch):
     """A short passage in many surroundings fills ranges of its own; its strings are grouped by their bytes."""
     monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
