@@ -68,29 +68,35 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     """Of documents data[start:end]: each anchor's position, the first and last of the strings it
     serves (their positions), and the hash of its substring (BITS bits).
 
-    Bytes are taken TILE strings at a time, whose arrays stay in the processor's cache.
+    Bytes are taken TILE strings at a time, whose arrays stay in the processor's cache; of a tile
+    only its anchors are kept, so that no array has a number for every byte.
     """
     none = np.empty(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none
-    inside = np.zeros(len(data) + 1, np.int32)
+    inside = np.zeros(len(data) + 1, np.int8)
     long = end - start >= LENGTH
-    np.add.at(inside, start[long], 1)
-    np.add.at(inside, end[long] - LENGTH + 1, -1)
-    inside = np.cumsum(inside) > 0
-    at, strings, hashes = [], [], []
+    inside[start[long]] += 1  # documents don't overlap: no position stands twice in either line
+    inside[end[long] - LENGTH + 1] -= 1
+    inside = np.cumsum(inside, dtype=np.int8, out=inside).view(bool)
+    at, firsts, lasts, hashes, before = [], [], [], [], -1
     for lo in range(0, len(data) - LENGTH + 1, TILE):
         choice, g = _choices(data[lo : lo + TILE + LENGTH - 1])
         use = np.flatnonzero(inside[lo : lo + len(choice)])
-        at.append(choice[use] + lo)
-        strings.append(use + lo)
-        hashes.append((g[choice[use]] >> U(64 - golomb.BITS)).astype(np.int64))
-    at, strings, hashes = np.concatenate(at), np.concatenate(strings), np.concatenate(hashes)
-    if not len(strings):
-        return none, none, none, none
-    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[new[1:], len(at)] - 1
-    return at[new], strings[new], strings[last], hashes[new]
+        if not len(use):
+            continue
+        choice = choice[use]
+        new = np.flatnonzero(np.r_[True, choice[1:] != choice[:-1]])
+        last = use[np.r_[new[1:], len(use)] - 1] + lo
+        if choice[0] + lo == before:  # the tile before ends with strings of this anchor
+            lasts[-1][-1], new, last = last[0], new[1:], last[1:]
+        if len(new):
+            at.append(choice[new] + lo)
+            firsts.append(use[new] + lo)
+            lasts.append(last)
+            hashes.append((g[choice[new]] >> U(64 - golomb.BITS)).astype(np.int64))
+            before = at[-1][-1]
+    return tuple(np.concatenate(x) if x else none for x in (at, firsts, lasts, hashes))
 
 
 class Chunk:
@@ -112,29 +118,55 @@ class Chunk:
     def shared(self, owners: int, bitmaps: dict[int, bytes]) -> np.ndarray:
         return np.flatnonzero(golomb.flags(self.hash, owners, bitmaps)) if len(self.hash) else np.empty(0, np.int64)
 
+    def grams(self, some: np.ndarray) -> np.ndarray:
+        """The substrings of some anchors."""
+        if not len(some):
+            return np.empty(0, f"S{GRAM}")
+        windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(self.raw, np.uint8), GRAM)
+        return windows[self.at[some]].view(f"S{GRAM}").ravel()
+
+    def ranges(self, some: np.ndarray, splits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(range, those of some anchors that belong to it), so that one range's records are held at a time."""
+        owner = np.searchsorted(splits, self.grams(some), side="right")
+        order = np.argsort(owner, kind="stable")
+        to, start = np.unique(owner[order], return_index=True)
+        yield from zip(to.tolist(), np.split(some[order], start[1:]), strict=False)
+
     def records(self, some: np.ndarray) -> tuple[dict[tuple[bytes, bytes], int], np.ndarray]:
         """Distinct (suffix, left context) of some anchors, each with the anchor of the smallest id,
         and that anchor for each of them."""
         best: dict[tuple[bytes, bytes], int] = {}
-        keys = []
-        for a, first, last, k in zip(self.at[some].tolist(), self.first[some].tolist(), self.last[some].tolist(), some.tolist(), strict=True):
-            key = self.raw[a : last + LENGTH], self.raw[first:a]
-            keys.append(key)
-            best.setdefault(key, k)  # documents stand in the order of their ids
-        return best, np.array([best[k] for k in keys], np.int64)
-
-    def strings(self, best: dict[tuple[bytes, bytes], int], frequent: set[bytes]) -> dict[bytes, int]:
-        """The strings of those records whose anchor's substring is frequent, with their smallest order."""
+        where = zip(self.at[some].tolist(), self.first[some].tolist(), self.last[some].tolist(), some.tolist(), strict=True)
+        # Documents stand in the order of their ids.
+        own = [best.setdefault((self.raw[a : last + LENGTH], self.raw[first:a]), k) for a, first, last, k in where]
+        return best, np.array(own, np.int64)
+
+    def strings(self, best: dict[tuple[bytes, bytes], int]) -> dict[bytes, int]:
+        """The strings of those records, with their smallest order."""
         least: dict[bytes, int] = {}
         for (suffix, left), k in best.items():
-            if suffix[:GRAM] in frequent:
-                whole, order = left + suffix, int(self.order[self.doc[k]])
-                for q in range(len(whole) - LENGTH + 1):
-                    s = whole[q : q + LENGTH]
-                    if least.setdefault(s, order) > order:
-                        least[s] = order
+            whole, order = left + suffix, int(self.order[self.doc[k]])
+            for q in range(len(whole) - LENGTH + 1):
+                s = whole[q : q + LENGTH]
+                if least.setdefault(s, order) > order:
+                    least[s] = order
         return least
 
+    def removed(self, some: np.ndarray, best: np.ndarray, bits: np.ndarray) -> np.ndarray:
+        """The bytes that go. best: for each of some anchors the one whose record stands for it;
+        bits: for each anchor, of its strings those that a smaller id of another chunk has."""
+        # How many removed strings cover a byte, as differences: LENGTH at most, and one begins or ends at a byte.
+        covered = np.zeros(len(self.raw) + 1, np.int8)
+        if len(some):
+            # What the smallest id of this chunk has, larger ids lose; the rest is as the owner says.
+            larger = self.order[self.doc[some]] > self.order[self.doc[best]]
+            first, count, bits = self.first[some], self.last[some] - self.first[some] + 1, bits[best]
+            for q in range(int(count.max())):
+                gone = first[(q < count) & (larger | (bits >> q & 1 > 0))] + q
+                covered[gone] += 1
+                covered[gone + LENGTH] -= 1
+        return np.cumsum(covered, dtype=np.int8, out=covered)[:-1] > 0
+
 
 def front_coded(records: list[tuple[bytes, bytes, int, int]]) -> bytes:
     """Sorted (suffix, left, order, number), each suffix without the prefix it shares with the one before."""
@@ -279,6 +311,7 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
         rows = rows.where("id is not null").union(rows.where("id is null").groupBy("id", "t").agg(F.count("*").alias("copies")))
     base = rows.withColumn("sender", F.pmod(F.xxhash64("id", "t"), F.lit(chunks)))
     splits, frequent = splitters(base, min(chunks, MOST_RANGES)) if chunks > 1 else (np.empty(0, f"S{GRAM}"), set())
+    often = np.array(sorted(frequent), f"S{GRAM}")
 
     def send(key, group):
         c = Chunk(group)
@@ -292,12 +325,13 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
     def runs(key, group, bits):
         c = Chunk(group)
         some = c.shared(owners, dict(zip(bits.column("owner").to_pylist(), bits.column("bitmap").to_pylist(), strict=True)))
-        best, _ = c.records(some)
-        run = sorted((suffix, left, int(c.order[c.doc[k]]), k) for (suffix, left), k in best.items() if suffix[:GRAM] not in frequent)
-        owner = np.searchsorted(splits, np.array([r[0][:GRAM] for r in run], splits.dtype), side="right")
-        to, start = np.unique(owner, return_index=True)
-        end = np.r_[start[1:], len(run)]
-        return pa.table({"sender": pa.array([key[0].as_py()] * len(to), pa.int64()), "owner": pa.array(to, pa.int32()), "run": pa.array([front_coded(run[i:j]) for i, j in zip(start.tolist(), end.tolist(), strict=False)], pa.binary())})
+        to, coded = [], []
+        for owner, part in c.ranges(some, splits):
+            run = sorted((suffix, left, int(c.order[c.doc[k]]), k) for (suffix, left), k in c.records(part)[0].items() if suffix[:GRAM] not in frequent)
+            if run:
+                to.append(owner)
+                coded.append(front_coded(run))
+        return pa.table({"sender": pa.array([key[0].as_py()] * len(to), pa.int64()), "owner": pa.array(to, pa.int32()), "run": pa.array(coded, pa.binary())})
 
     sent = base.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(runs, "sender long, owner int, run binary")
 
@@ -321,7 +355,7 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
         def strings(key, group, bits):
             c = Chunk(group)
             some = c.shared(owners, dict(zip(bits.column("owner").to_pylist(), bits.column("bitmap").to_pylist(), strict=True)))
-            least = c.strings(c.records(some)[0], frequent)
+            least = c.strings(c.records(some[np.isin(c.grams(some), often)])[0])
             return pa.table({"sender": pa.array([key[0].as_py()] * len(least), pa.int64()), "string": pa.array(list(least), pa.binary()), "least": pa.array(list(least.values()), pa.int64())})
 
         own = written(base.groupBy("sender").cogroup(bitmaps.groupBy("sender")).applyInArrow(strings, "sender long, string binary, least long"), "strings")
@@ -337,29 +371,22 @@ def cut(docs: DataFrame, text: str = "text", id_col: str = "doc_id", keep_text:
         bits = np.zeros(len(c.at) + 1, np.int64)
         bits[got.column("number").to_numpy()] = got.column("bits").to_numpy()
         some = c.shared(owners, bitmaps)
-        distinct, best = c.records(some)
+        best = np.arange(len(c.at))
+        for _, part in c.ranges(some, splits):
+            best[part] = c.records(part)[1]
         if frequent:
-            least, told = c.strings(distinct, frequent), known.filter(known.column("string").is_valid())
+            distinct = c.records(some[np.isin(c.grams(some), often)])[0]
+            least, told = c.strings(distinct), known.filter(known.column("string").is_valid())
             least.update(zip(told.column("string").to_pylist(), told.column("bits").to_pylist(), strict=True))
             for (suffix, left), k in distinct.items():
-                if suffix[:GRAM] in frequent:
-                    whole = left + suffix
-                    bits[k] = sum(1 << q for q in range(len(whole) - LENGTH + 1) if least[whole[q : q + LENGTH]] < c.order[c.doc[k]])
-        gone = [np.empty(0, np.int64)]
-        if len(some):
-            # What the smallest id of this chunk has, larger ids lose; the rest is as the owner says.
-            larger = c.order[c.doc[some]] > c.order[c.doc[best]]
-            count = c.last[some] - c.first[some] + 1
-            for q in range(int(count.max())):
-                gone.append(c.first[some][(q < count) & (larger | (bits[best] >> q & 1 > 0))] + q)
-        gone = np.concatenate(gone)
-        size = len(c.raw) + 1
-        removed = np.cumsum(np.bincount(gone, minlength=size) - np.bincount(gone + LENGTH, minlength=size)[:size])[:-1] > 0
+                whole = left + suffix
+                bits[k] = sum(1 << q for q in range(len(whole) - LENGTH + 1) if least[whole[q : q + LENGTH]] < c.order[c.doc[k]])
+        removed = c.removed(some, best[some], bits)
         data, rows = np.frombuffer(c.raw, np.uint8), []
         for i, s, e, copies in zip(c.ids, c.start.tolist(), c.end.tolist(), c.copies, strict=True):
             r = removed[s:e]
             kept = data[s:e][~r].tobytes()
-            rows.append((i, e - s, int(r.sum()), int(np.count_nonzero(r[1:] & ~r[:-1]) + (len(r) > 0 and r[0])), hashlib.sha256(kept).hexdigest(), copies, kept))
+            rows.append((i, e - s, int(r.sum()), int(np.count_nonzero(r[1:] & ~r[:-1]) + (len(r) > 0 and r[0])), hashlib.sha256(kept).hexdigest(), copies, kept if keep_text else None))
         cols = {"doc_id": pa.array([r[0] for r in rows], pa.int64())} | {n: pa.array([r[k] for r in rows], pa.int64()) for k, n in ((1, "n_bytes"), (2, "n_removed"), (3, "n_spans"))} | {"kept_sha256": pa.array([r[4] for r in rows], pa.string()), "copies": pa.array([r[5] for r in rows], pa.int64())}
         return pa.table(cols | ({"kept": pa.array([r[6] for r in rows], pa.binary())} if keep_text else {}))
 

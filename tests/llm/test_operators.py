@@ -2,9 +2,11 @@
 
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,35 @@ def test_suffix_dedup_splits_frequent_anchors(spark, monkeypatch):
     assert frequent and list(splits) == sorted(splits)
 
 
+def test_suffix_dedup_holds_few_numbers_for_a_byte():
+    """A chunk's anchors and cuts take no array of 8 bytes for every byte, its records are held a range at a time."""
+    rng = np.random.default_rng(6)
+    texts = [rng.integers(97, 123, 20_000).astype(np.uint8).tobytes() for _ in range(50)]
+    rows = [(k, t) for k, t in enumerate(texts + texts)]
+    group = pa.table({"id": pa.array([r[0] for r in rows], pa.int64()), "t": pa.array([r[1] for r in rows], pa.binary()), "copies": pa.array([1] * len(rows), pa.int64())})
+    size = sum(len(t) for _, t in rows)
+    c = suffix_dedup.Chunk(group)
+    some, data, splits = np.arange(len(c.at)), np.frombuffer(c.raw, np.uint8), np.array(sorted(c.grams(np.arange(0, len(c.at), 1000)).tolist()), f"S{suffix_dedup.GRAM}")
+    best, out = np.arange(len(c.at)), []
+
+    def records():
+        for owner, part in c.ranges(some, splits):
+            own, best[part] = c.records(part)
+            out.append((owner, len(part), min(own)[0][: suffix_dedup.GRAM], max(own)[0][: suffix_dedup.GRAM]))
+
+    for f in (lambda: suffix_dedup.anchors(data, c.start, c.end), records, lambda: c.removed(some, best, np.zeros(len(c.at), np.int64))):
+        tracemalloc.start()
+        f()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 8 * size
+    assert sum(n for _, n, *_ in out) == len(some) and len(out) > 50
+    assert all(x[3] < y[2] for x, y in zip(out, out[1:], strict=False))
+    assert np.array_equal(best, c.records(some)[1])
+    removed = c.removed(some, best, np.zeros(len(c.at), np.int64))
+    assert not removed[: size // 2].any() and removed[size // 2 :].all()
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = np.random.default_rng(2)
     runs = [sorted((bytes(rng.integers(97, 100, 8).tolist()), b"", k, n) for n in range(int(rng.integers(0, 40)))) for k in range(5)]
