@@ -66,7 +66,8 @@ def _choices(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of documents data[start:end]: each anchor's position, the first and last of the strings it
-    serves (their positions), and the hash of its substring (BITS bits).
+    serves (their positions), and a fingerprint of its substring (BITS bits, evenly spread: anchors
+    have small hashes, so by the hash itself the owner of the least would get 16 times its part).
 
     Bytes are taken TILE strings at a time, whose arrays stay in the processor's cache; of a tile
     only its anchors are kept, so that no array has a number for every byte.
@@ -94,7 +95,7 @@ def anchors(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
             at.append(choice[new] + lo)
             firsts.append(use[new] + lo)
             lasts.append(last)
-            hashes.append((g[choice[new]] >> U(64 - golomb.BITS)).astype(np.int64))
+            hashes.append((g[choice[new]] * U(0xD6E8FEB86659FD93) >> U(64 - golomb.BITS)).astype(np.int64))
             before = at[-1][-1]
     return tuple(np.concatenate(x) if x else none for x in (at, firsts, lasts, hashes))
 

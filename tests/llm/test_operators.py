@@ -229,6 +229,17 @@ def test_suffix_dedup_holds_few_numbers_for_a_byte():
     assert not removed[: size // 2].any() and removed[size // 2 :].all()
 
 
+@pytest.mark.parametrize("owners", [4, 100, 5000])
+def test_suffix_dedup_deals_fingerprints_evenly(owners):
+    """Anchors are least hashes; their owners must get about equal parts all the same."""
+    data = np.random.default_rng(7).integers(97, 123, 4_000_000).astype(np.uint8)
+    at, _, _, prints = suffix_dedup.anchors(data, np.array([0]), np.array([len(data)]))
+    part = np.bincount(prints // -(-(1 << golomb.BITS) // owners), minlength=owners)
+    assert len(at) > 200_000 and len(part) == owners
+    mean = len(at) / owners
+    assert np.abs(part - mean).max() < 6 * np.sqrt(mean)
+
+
 def test_loser_tree_sorts_and_knows_prefixes():
     rng = np.random.default_rng(2)
     runs = [sorted((bytes(rng.integers(97, 100, 8).tolist()), b"", k, n) for n in range(int(rng.integers(0, 40)))) for k in range(5)]
